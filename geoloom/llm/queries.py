@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP4_SQL, op4_decontamination
+from .fingerprint import op5_fingerprint
+from .html import op6_html_extraction
 from .langid import op7_language_id
 from .secrets import op9_secret_scan
 from .toxicity import op1_toxicity
@@ -16,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op4_decontamination": op4_decontamination,
+    "op5_fingerprint": op5_fingerprint,
+    "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
     "op9_secret_scan": op9_secret_scan,
 }
