@@ -10,6 +10,7 @@ from .decontaminate import OP4_SQL, op4_decontamination
 from .fingerprint import op5_fingerprint
 from .html import op6_html_extraction
 from .langid import op7_language_id
+from .linededup import op2_line_dedup
 from .mixing import op3_mixing
 from .secrets import op9_secret_scan
 from .toxicity import op1_toxicity
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_fingerprint": op5_fingerprint,
