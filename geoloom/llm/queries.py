@@ -12,6 +12,7 @@ from .html import op6_html_extraction
 from .langid import op7_language_id
 from .linededup import op2_line_dedup
 from .mixing import op3_mixing
+from .neardup import op10_near_duplicates
 from .secrets import op9_secret_scan
 from .toxicity import op1_toxicity
 
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
