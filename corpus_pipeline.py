@@ -2,13 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.llm import decontaminate, langid, linededup, mixing, neardup
+from geoloom.llm.common import Workspace, id_remainder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier doesn't reject: those far from all it knows go."""
+    p = langid.Params()
+    model = langid.fit(docs.filter(id_remainder("doc_id", 4) != 2), p)
+    return langid.classify(docs, model, p, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line runs that repeat earlier ones; a document that is wholly such runs goes."""
+    found = linededup.dedup_lines(docs, Workspace(spark, "pipeline-lines"))
+    kept = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", size).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs, Workspace(spark, "pipeline-near"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without what they share with the benchmark; those that are mostly that go."""
+    cols = docs.columns
+    at = cols.index("text")
+    found = decontaminate.spans(docs.withColumn("doc_id", F.col("doc_id").cast("long")), table(spark, sf_dir, "benchmark"), keep=tuple(c for c in cols if c != "doc_id"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                texts = part.column("text").to_pylist()
+                gone, changed = [False] * len(texts), [False] * len(texts)
+                for k, spans in enumerate(part.column("spans").to_pylist()):
+                    if spans:
+                        texts[k] = decontaminate.clean(texts[k], [(s["start"], s["end"]) for s in spans], min_span=1)
+                        gone[k], changed[k] = not texts[k], True
+                arrays = [pa.array(texts, pa.string()) if k == at else part.column(c) for k, c in enumerate(cols)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone), pa.array(changed)], names=[*cols, "gone", "changed"])
+
+    out_type = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema) + ", gone boolean, changed boolean"
+    done = found.select(*cols, "spans").mapInArrow(cut, out_type).filter(~F.col("gone"))
+    size = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", size).select(*cols)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents drawn to the sources' target weights, with the words taken and the output shard."""
+    return mixing.mix(docs, mixing.Params(), Workspace(spark, "pipeline-mix"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing_sources),
+]
 
 #: SQL cannot state the classifier, the sketches and the permuted draws; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -16,8 +78,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written to the shared folder and read again by the next."""
-    from geoloom.llm.common import Workspace, table
-
     docs = table(spark, sf_dir, "documents")
     space = Workspace(spark, "pipeline")
     before = None

@@ -161,6 +161,7 @@ def fit(docs: DataFrame, p: Params) -> Model:
 
 def classify(docs: DataFrame, model: Model, p: Params, keep: list[str]) -> DataFrame:
     """The columns in keep, with lang_pred, score and rejected, for every row of docs."""
+    source = "text"
     dims, m, packed = p.dims, model, packed_letters()  # centroids x dims travel with the kernel
     fields = [docs.schema[c] for c in keep]
     out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
@@ -170,7 +171,7 @@ def classify(docs: DataFrame, model: Model, p: Params, keep: list[str]) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = part.column("__text").to_pylist()
+                texts = part.column(source).to_pylist()
                 counts, letters = zip(*(gram_counts(t, dims, letter) for t in texts), strict=True)
                 langs, scores, rejected = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if m.languages:
@@ -183,7 +184,7 @@ def classify(docs: DataFrame, model: Model, p: Params, keep: list[str]) -> DataF
                 cols = [part.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(mapped, out_type)
+    return docs.select(*keep, *([] if source in keep else [source])).mapInArrow(mapped, out_type)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
