@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -46,6 +46,11 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of plans that nobody holds any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -78,6 +83,3 @@ def id_remainder(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
-
-def package_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -14,6 +14,7 @@ from .linededup import op2_line_dedup
 from .mixing import op3_mixing
 from .neardup import op10_near_duplicates
 from .secrets import op9_secret_scan
+from .suffixdedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op5_fingerprint": op5_fingerprint,
     "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
