@@ -132,24 +132,20 @@ def in_order(docs: DataFrame, buckets_per_part: int = 6) -> tuple[DataFrame, int
     A bucket is a range of ids between quantiles; the rows with a bucket's least id go to the bucket before, too, marked
     tail, so that each bucket knows the document after its last. Returns the rows and the number of buckets.
     """
-    spark = docs.sparkSession
-    n = parallelism(spark)
+    n = parallelism(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = base.select(F.col("doc_id").cast("double").alias("d"))
     share = [k / (n * buckets_per_part) for k in range(1, n * buckets_per_part)]
     cuts = sorted(set(ids.approxQuantile("d", share, 0.5 / (n * buckets_per_part))))
     last = len(cuts) + 1  # of rows without an id
     bounds = F.from_json(F.lit(json.dumps(cuts)), "array<double>")  # folded to a literal of a number per bucket
-    # The number of cuts up to the id: a binary search by bisection over the array, unrolled.
-    rows = base
+    # The number of cuts up to the id, by binary search over the literal.
+    d = F.col("doc_id").cast("double")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
     at = F.lit(0)
-    step = 1 << max(0, len(cuts).bit_length() - 1)
-    while step:
-        at = F.when((at + step <= len(cuts)) & (F.get(bounds, at + (step - 1)) <= F.col("doc_id").cast("double")), at + step).otherwise(at)
-        rows = rows.withColumn("at", at)
-        at = F.col("at")
-        step //= 2
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), last).otherwise(F.col("at") if cuts else F.lit(0))).select("bucket", "doc_id", "text")
+    if cuts:
+        at = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda acc, x: F.when((acc + x <= len(cuts)) & (F.get(bounds, acc + x - 1) <= d), acc + x).otherwise(acc))
+    rows = base.select(F.when(F.col("doc_id").isNull(), last).otherwise(at).alias("bucket"), "doc_id", "text")
     return rows, last + 1
 
 
