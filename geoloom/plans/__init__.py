@@ -2,4 +2,6 @@
 
 from geoloom.catalog import ORACLE_SQL, QUERIES
 
+from . import raster_plans, sql_plans, stencil_plans, vector_plans  # noqa: F401
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
