@@ -9,17 +9,12 @@ from geoloom.operators import stencil
 
 from .views import DEM, dem
 
-#: The nine taps with mirrored edges, by joins.
-TAPS = f"""{DEM}, hw AS (SELECT max(r) h, max(c) w FROM dem),
-g AS (SELECT r, c, v FROM dem),
-x AS (SELECT r, c, v FROM g UNION ALL SELECT a.r, -1, 2 * a.v - b.v FROM g a JOIN g b ON a.r = b.r WHERE a.c = 0 AND b.c = 1
-  UNION ALL SELECT a.r, w + 1, 2 * a.v - b.v FROM hw, g a JOIN g b ON a.r = b.r WHERE a.c = w AND b.c = w - 1),
-y AS (SELECT r, c, v FROM x UNION ALL SELECT -1, a.c, 2 * a.v - b.v FROM x a JOIN x b ON a.c = b.c WHERE a.r = 0 AND b.r = 1
-  UNION ALL SELECT h + 1, a.c, 2 * a.v - b.v FROM hw, x a JOIN x b ON a.c = b.c WHERE a.r = h AND b.r = h - 1),
-t AS (SELECT m.r, m.c, nw.v nw, n.v n, ne.v ne, w.v w, m.v c0, e.v e, sw.v sw, s.v s, se.v se FROM dem m
-  JOIN y nw ON nw.r = m.r - 1 AND nw.c = m.c - 1 JOIN y n ON n.r = m.r - 1 AND n.c = m.c JOIN y ne ON ne.r = m.r - 1 AND ne.c = m.c + 1
-  JOIN y w ON w.r = m.r AND w.c = m.c - 1 JOIN y e ON e.r = m.r AND e.c = m.c + 1
-  JOIN y sw ON sw.r = m.r + 1 AND sw.c = m.c - 1 JOIN y s ON s.r = m.r + 1 AND s.c = m.c JOIN y se ON se.r = m.r + 1 AND se.c = m.c + 1),
+#: The nine taps with mirrored edges: sides first, then above and below.
+TAPS = f"""{DEM},
+g AS (SELECT r, c, v, lag(v) OVER w l, lead(v) OVER w q FROM dem WINDOW w AS (PARTITION BY r ORDER BY c)),
+x AS (SELECT r, c, coalesce(l, 2 * v - q) l, v m, coalesce(q, 2 * v - l) q FROM g),
+y AS (SELECT *, lag(l) OVER w ul, lag(m) OVER w um, lag(q) OVER w uq, lead(l) OVER w dl, lead(m) OVER w dm, lead(q) OVER w dq FROM x WINDOW w AS (PARTITION BY c ORDER BY r)),
+t AS (SELECT r, c, coalesce(ul, 2 * l - dl) nw, coalesce(um, 2 * m - dm) n, coalesce(uq, 2 * q - dq) ne, l w, m c0, q e, coalesce(dl, 2 * l - ul) sw, coalesce(dm, 2 * m - um) s, coalesce(dq, 2 * q - uq) se FROM y),
 gr AS (SELECT *, ((ne + 2 * e + se) - (nw + 2 * w + sw)) gx, ((sw + 2 * s + se) - (nw + 2 * n + ne)) gy FROM t)"""
 
 
