@@ -6,7 +6,11 @@ joined by propagating the least label over the graph of borders, which is far sm
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 
 import numpy as np
@@ -17,15 +21,17 @@ from pyspark.sql import functions as F
 TILE = 256
 
 
+@cache
+def own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="geoloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir); where that is unset, df.checkpoint() in one of our own."""
+    """df as a table in the shared folder (spark.checkpoint.dir); where that is unset, in one of our own."""
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='geoloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
     path = f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
