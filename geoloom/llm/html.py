@@ -43,6 +43,8 @@ REGION = frozenset("html body".split())
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 #: An open element of a kind is ended by the start of another.
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
+#: Conditions of old browsers, which the parser takes for text.
+CONDITION = re.compile(r"<!\[(?:if|endif)[^>]*>", re.I)
 SIGMA = 1.0
 
 
@@ -157,7 +159,7 @@ def extract(html: str | None) -> str:
         return ""
     events = Events()
     try:
-        events.feed(html)
+        events.feed(CONDITION.sub(" ", html))
         events.close()
     except AssertionError:  # a declaration that the parser can't read ends the page
         pass

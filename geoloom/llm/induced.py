@@ -1,6 +1,6 @@
 """Induced suffix sorting in bulk, with common-prefix values.
 
-The string is over 0..256, where 0 separates texts. Suffixes that begin a rise after a fall (LMS suffixes) are sorted by
+The string is over 0..256, where 0 separates texts (never two in a row) and comes last. Suffixes that begin a rise after a fall (LMS suffixes) are sorted by
 the names of the pieces between them, doubled until they reach the wanted depth; from them the order of all others is
 induced bucket by bucket, a whole bucket at a time: each suffix puts its left neighbour into the queue of that
 neighbour's first byte, with the length of its common prefix with the one before it (one more than the least between
