@@ -48,10 +48,10 @@ CONDITION = re.compile(r"<!\[(?:if|endif)[^>]*>", re.I)
 SIGMA = 1.0
 
 
-def _outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def _outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool, by_name: bool) -> bool:
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
-    if tag in REGION or tag in ("article", "main"):
+    if tag in REGION or tag in ("article", "main") or not by_name:
         return False
     for key, value in attrs:
         if not value and key not in ("hidden",):
@@ -68,8 +68,9 @@ def _outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
 class Events(HTMLParser):
     """Lines of a page: text, number of tags, the path of open elements, whether they are outside."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_name: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.by_name, self.skipped, self.dropped = by_name, False, 0
         self.open: list[tuple[str, int, bool]] = []  # name, number of the element, outside
         self.n = 0
         self.text: list[str] = []
@@ -81,12 +82,14 @@ class Events(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.open), bool(self.open) and self.open[-1][2]))
+            self.lines.append((text, self.tags, tuple(x[1] for x in self.open), False))
+        elif self.skipped:
+            self.lines.append(("", self.tags, (), True))
         self.text.clear()
-        self.tags = 0
+        self.tags, self.skipped = 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCK or tag in OUTSIDE:
+        if tag in BLOCK:
             self.flush()
         self.tags += 1
         if tag == "br" or tag in ("td", "th"):
@@ -104,7 +107,7 @@ class Events(HTMLParser):
         self.n += 1
         self.kinds[self.n] = tag
         up = bool(self.open) and self.open[-1][2]
-        self.open.append((tag, self.n, up or _outside(tag, attrs, self.articles > 0)))
+        self.open.append((tag, self.n, up or _outside(tag, attrs, self.articles > 0, self.by_name)))
         self.articles += tag in ("article", "main")
 
     def _close(self, k: int) -> None:
@@ -117,7 +120,7 @@ class Events(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK or tag in OUTSIDE:
+        if tag in BLOCK:
             self.flush()
         self.tags += 1
         if tag in ("td", "th"):
@@ -128,7 +131,10 @@ class Events(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if not self.open or self.open[-1][0] not in ("script", "style"):
+        if self.open and self.open[-1][2]:
+            self.skipped = True
+            self.dropped += len(data) * (self.open[-1][0] not in ("script", "style"))
+        else:
             self.text.append(data)
 
 
@@ -154,16 +160,23 @@ def _threshold(x: np.ndarray) -> float:
     return t
 
 
-def extract(html: str | None) -> str:
-    if not html:
-        return ""
-    events = Events()
+def _read(html: str, by_name: bool) -> Events:
+    events = Events(by_name)
     try:
         events.feed(CONDITION.sub(" ", html))
         events.close()
     except AssertionError:  # a declaration that the parser can't read ends the page
         pass
     events.flush()
+    return events
+
+
+def extract(html: str | None) -> str:
+    if not html:
+        return ""
+    events = _read(html, True)
+    if sum(len(x[0]) for x in events.lines) * 5 < min(events.dropped, 700):  # a name has hidden the whole page
+        events = _read(html, False)
     lines = events.lines
     inside = [k for k, x in enumerate(lines) if not x[3]]
     if not inside:

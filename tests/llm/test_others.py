@@ -117,6 +117,11 @@ def test_extraction():
     assert html.extract(page).split("\n\n") == ["Head & line", "First long paragraph of the text, with bold words in it and more to say about it.", "Be.", "one thing", "another thing", "Second long paragraph, which also goes on for a good while — until it ends."]
 
 
+def test_inline_outsiders_and_hidden_pages():
+    assert html.extract("<p>one <script>x()</script>two <button>Share</button><span class='ad-label'>ad</span> three</p>") == "one two three"
+    assert html.extract("<div class='with-sidebar'><p>" + "words of the page " * 50 + "</p></div>").startswith("words of the page")
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a\n\nb"), ("<script>x</script>", ""), ("<div><p>unclosed <b>bold", "unclosed bold"), ("a < b & c &am", "a < b & c &am"), ("<![endif]--><p>x</p>", "x")])
 def test_odd_pages(page, text):
     assert html.extract(page) == text
