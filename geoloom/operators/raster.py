@@ -265,3 +265,25 @@ def rgb_to_palette(df: DataFrame, colors: int = 256, bits: int = 5) -> tuple[Dat
 
 def with_row_window(order: str = "col") -> Window:
     return Window.partitionBy("band", "row" if order == "col" else "col").orderBy(order)
+
+
+def calc_expression(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """An infix expression over columns that hold the bands of a cell: v."""
+    from geoloom.functions.expression import expression
+
+    return df.withColumn("v", expression(text, {c: F.col(c).cast("double") for c in columns}))
+
+
+def edit(raster, **changes):  # noqa: ANN001, ANN003, ANN201
+    """Overrides of what is said about a raster (crs, gt, nodata, dtype, metadata); the cells stay."""
+    return raster.with_df(raster.df, **changes)
+
+
+def index(rasters: list[tuple[str, object]], spark) -> DataFrame:  # noqa: ANN001
+    """A tile index: location, crs and extent of each raster, from what is said about it."""
+    rows = []
+    for location, r in rasters:
+        x0, dx, _, y0, _, dy = r.gt
+        xs, ys = sorted((x0, x0 + r.width * dx)), sorted((y0, y0 + r.height * dy))
+        rows.append((location, r.crs, float(xs[0]), float(ys[0]), float(xs[1]), float(ys[1])))
+    return spark.createDataFrame(rows, "location string, crs string, xmin double, ymin double, xmax double, ymax double")

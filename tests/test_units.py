@@ -14,7 +14,7 @@ from geoloom.functions import geometry as g
 from geoloom.functions import pixel
 from geoloom.model import Layer
 from geoloom.operators import components, distance, geometry, grid, mdim, raster, stencil, vector, warp
-from geoloom.sources import files, geojson, shapefile, tiff
+from geoloom.sources import archives, files, geojson, shapefile, tiff, vrt
 from geoloom.sql import execute_sql
 from geoloom.sql.parser import SqlError
 from geoloom.streaming import windowed_zonal
@@ -292,3 +292,34 @@ def test_stream(spark, tmp_path):
 def test_window_operators_shuffle_twice(spark):
     plan = stencil.slope(cells(spark, [[1, 2], [3, 4]]))._jdf.queryExecution().sparkPlan().toString()
     assert "CartesianProduct" not in plan and plan.count("Window") == 2
+
+
+def test_vrt(spark, tmp_path):
+    a, b = np.arange(6, dtype="f8").reshape(1, 2, 3), np.full((1, 2, 2), 9.0)
+    (tmp_path / "a.tif").write_bytes(tiff.encode(a))
+    (tmp_path / "b.tif").write_bytes(tiff.encode(b))
+    xml = vrt.write(4, 2, [(f"{tmp_path}/a.tif", 1, (0, 0, 3, 2), (0, 0, 3, 2)), (f"{tmp_path}/b.tif", 1, (0, 0, 2, 2), (2, 0, 2, 2))], (0, 1, 0, 0, 0, 1))
+    (tmp_path / "m.vrt").write_text(xml)
+    r = vrt.read(spark, str(tmp_path / "m.vrt"))
+    assert (r.width, r.height) == (4, 2) and grid_of(r.df).tolist() == [[0, 1, 9, 9], [3, 4, 9, 9]]
+    assert raster.index([("m", r)], spark).first()["xmax"] == 4.0 and raster.edit(r, crs="EPSG:4326").crs == "EPSG:4326"
+
+
+def test_multidimensional_vrt(spark, tmp_path):
+    (tmp_path / "md.vrt").write_text("""<VRTDataset><Group name="/"><Dimension name="Y" size="2"/><Dimension name="X" size="3"/>
+      <Array name="X"><DataType>Float64</DataType><DimensionRef ref="X"/><RegularlySpacedValues start="10" increment="2"/></Array>
+      <Array name="t"><DataType>Float64</DataType><DimensionRef ref="Y"/><DimensionRef ref="X"/><InlineValues>1 2 3 4 5 6</InlineValues></Array></Group></VRTDataset>""")
+    df, dims = vrt.read_arrays(spark, str(tmp_path / "md.vrt"))["t"]
+    assert [d.name for d in dims] == ["Y", "X"] and dims[1].label(2) == 14.0
+    assert df.filter("i0 = 1 and i1 = 2").first()["v"] == 6.0
+
+
+def test_archives(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("a/b.txt", "hello")
+    (tmp_path / "g.txt.gz").write_bytes(gzip.compress(b"hi"))
+    got = {(r["name"], bytes(r["content"])) for r in archives.members(spark, str(tmp_path / "*.*")).collect()}
+    assert got == {("a/b.txt", b"hello"), ("g.txt", b"hi")}
