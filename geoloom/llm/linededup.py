@@ -168,3 +168,17 @@ def dedup_lines(docs: DataFrame, space: Workspace, min_words: int = MIN_WORDS) -
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, Workspace(spark, "op2"))
+
+
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) s FROM l),
+runs AS (
+  SELECT a.doc_id, a.i a, min(b.i) b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.n >= 25 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.i), b.i FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.n >= 25 GROUP BY 1, b.i),
+k AS (SELECT r.doc_id, r.a, r.b, string_agg(line, chr(10) ORDER BY i) t FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.i BETWEEN r.a AND r.b GROUP BY 1, 2, 3),
+f AS (SELECT *, min((doc_id, a)) OVER (PARTITION BY t) first FROM k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) i FROM f WHERE (doc_id, a) > first),
+kept AS (SELECT l.doc_id, count(*) n_lines, count(gone.i) n_removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) t FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END AS text, CAST(coalesce(n_lines, 0) AS INT) n_lines, CAST(coalesce(n_removed, 0) AS INT) n_removed FROM documents d LEFT JOIN kept USING (doc_id)
+"""

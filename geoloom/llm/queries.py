@@ -10,10 +10,10 @@ from .decontaminate import OP4_SQL, op4_decontamination
 from .fingerprint import op5_fingerprint
 from .html import op6_html_extraction
 from .langid import op7_language_id
-from .linededup import op2_line_dedup
+from .linededup import OP2_SQL, op2_line_dedup
 from .mixing import op3_mixing
 from .neardup import op10_near_duplicates
-from .secrets import op9_secret_scan
+from .secrets import OP9_SQL, op9_secret_scan
 from .suffixdedup import op8_suffix_dedup
 from .toxicity import op1_toxicity
 
@@ -33,5 +33,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op4_decontamination": OP4_SQL,
+    "op9_secret_scan": OP9_SQL,
 }

@@ -127,3 +127,27 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     _, findings = advance(docs, None, None)
     return join_back(docs, findings)
+
+
+def _oracle() -> str:
+    """The same spans in SQL. RE2 folds case beyond ASCII, so letters are spelt out in both cases."""
+    fold = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    words = "|".join(fold(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = [f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", *(r.pattern for r in RULES[1:])]
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, '{r.kind}' kind, {k} ord, {r.min_chars} least, string_split_regex(t, '{p}') gaps, regexp_extract_all(t, '{p}', 0) hits, regexp_extract_all(t, '{p}', {r.group}) held FROM d"
+        for k, (r, p) in enumerate(zip(RULES, patterns, strict=True))
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') n_{r.kind}" for r in BASE_RULES)
+    zeros = ", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), m AS ({kinds}),
+s AS (SELECT doc_id, kind, ord, least, CAST(list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS BIGINT) a, length(hits[k]) n, length(held[k]) h
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) k FROM m)),
+f AS (SELECT doc_id, kind, ord, a, kind || ':' || a || ':' || (a + n) said FROM s WHERE h >= least),
+g AS (SELECT doc_id, {counts}, sha256(coalesce(string_agg(said, ',' ORDER BY a, ord) FILTER (ord < {len(BASE_RULES)}), '')) b, string_agg(said, ',' ORDER BY a, ord) spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {zeros}, coalesce(b, sha256('')) base_sha256, coalesce(spans, '') spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP9_SQL = _oracle()
