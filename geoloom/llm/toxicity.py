@@ -120,8 +120,10 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
     got = rows.mapInArrow(by_slices(featurise, schema), "toxic int, b array<int>").toArrow()
-    found = [np.asarray(x, np.int64) for x in got["b"].to_pylist()]
-    y = np.asarray(got["toxic"].to_pylist(), np.int64)
+    lists = got["b"].combine_chunks()
+    values, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_numpy()])
+    found = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    y = got["toxic"].to_numpy().astype(np.int64)
     order = sorted(range(len(found)), key=lambda i: (y[i], found[i].tobytes()))  # the order of arrival says nothing
     return [found[i] for i in order], y[order]
 
