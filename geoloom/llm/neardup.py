@@ -111,7 +111,25 @@ def links(sketches: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
         known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = space.write(rest.join(known, ["a", "b"], "left_anti"), "pairs2")
         found = found.union(space.write(verify(more, texts), "found2"))
-    return found
+    return found.union(space.write(verify(between(member, rank, found, space), texts), "found3"))
+
+
+def between(member: DataFrame, rank: DataFrame, found: DataFrame, space: Workspace) -> DataFrame:
+    """The pairs (a, b) that may still link classes of `found` which meet in a bucket.
+
+    Buckets of up to SMALL give every pair of different classes. In larger ones all texts are held against the text with
+    most company of the first and of the last class there, so that a bucket of many copies gives two pairs a text at most.
+    """
+    labels = components(found, Workspace(space.spark, "near-part"))
+    labelled = member.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    open_ = space.write(labelled.join(mixed, "key"), "open")
+    small = open_.filter(F.col("size") <= SMALL).select("key", "node", "label")
+    near = small.join(small.toDF("key", "other", "theirs"), "key").filter("node < other and label <> theirs").select("node", "other")
+    large = open_.filter(F.col("size") > SMALL)
+    heads = large.filter("label = low or label = high").join(rank, "node").groupBy("key", F.col("label").alias("theirs")).agg(F.max(F.struct("weight", "node")).getField("node").alias("other"))
+    far = large.join(heads, "key").filter("label <> theirs").select("node", "other")
+    return near.union(far).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, space: Workspace) -> DataFrame:

@@ -73,3 +73,15 @@ def test_odd_rows(spark, make):
     out = neardup.classes(docs.select("doc_id", "text"), Workspace(spark, "t")).collect()
     assert sorted(r["class_size"] for r in out) == [1, 3, 3, 3] and neardup.keep_one(docs, Workspace(spark, "t")).count() == 2
     assert neardup.classes(docs.select("doc_id", "text").filter("doc_id = 8"), Workspace(spark, "t")).count() == 0
+
+
+def test_links_between_classes_that_meet_in_a_small_bucket(spark, make):
+    """A chain of texts, each similar to its neighbours alone, is one class."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(words[at : at + 200]) for at in range(0, 200, 10)]
+    km = [Sketcher().kmers(t) for t in texts]
+    assert aligned(km[0], km[1]) and not aligned(km[0], km[4])
+    docs = make(list(enumerate(texts)))
+    got = {r["class_id"] for r in neardup.classes(docs.select("doc_id", "text"), Workspace(spark, "t")).collect()}
+    assert got == {0}
