@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, table
-from .omh import Sketcher, aligned
+from .omh import SIMILARITY, Sketcher, aligned
 
 #: In buckets of up to so many texts, a text that has no link yet is held against every other.
 SMALL = 8
+#: Texts of a large bucket that are aligned among themselves at a time.
+BLOCK = 64
 
 
 def node_of(text: Column) -> Column:
@@ -111,7 +113,8 @@ def links(sketches: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
         known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = space.write(rest.join(known, ["a", "b"], "left_anti"), "pairs2")
         found = found.union(space.write(verify(more, texts), "found2"))
-    return found.union(space.write(verify(between(member, rank, found, space), texts), "found3"))
+    found = found.union(space.write(verify(between(member, rank, found, space), texts), "found3"))
+    return found.union(space.write(rest_of(member, nodes, found, texts, space), "found4"))
 
 
 def between(member: DataFrame, rank: DataFrame, found: DataFrame, space: Workspace) -> DataFrame:
@@ -132,6 +135,75 @@ def between(member: DataFrame, rank: DataFrame, found: DataFrame, space: Workspa
     return near.union(far).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def rest_of(member: DataFrame, nodes: DataFrame, found: DataFrame, texts: DataFrame, space: Workspace) -> DataFrame:
+    """The links (a, b) between classes of `found` in buckets of more than SMALL: all pairs of different classes are decided.
+
+    The texts of a bucket are dealt to blocks of about BLOCK: a class of more than BLOCK there has blocks of its own, the
+    others share theirs. Every two blocks that hold two classes are aligned in one step; a pair is decided in the bucket
+    of its first common band alone. Smaller buckets have been decided by `between`, as classes only grow.
+    """
+    labels = components(found, Workspace(space.spark, "near-rest"))
+    labelled = member.filter(F.col("size") > SMALL).join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    rows = space.write(labelled.join(mixed, "key"), "rest")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK))
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    shared = counts.filter(F.col("n") <= BLOCK).groupBy("key").agg(F.sum("n").alias("pool"))
+    alone = F.when(F.col("n") > BLOCK, F.col("label"))
+    block = F.xxhash64(alone, F.pmod(F.xxhash64("node"), F.when(F.col("n") > BLOCK, blocks("n")).otherwise(blocks("pool"))))
+    dealt = rows.join(counts, ["key", "label"]).join(shared, "key", "left").select("key", "node", "label", block.alias("block"))
+    dealt = space.write(dealt, "dealt")
+    held = dealt.groupBy("key", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    two = held.join(held.toDF("key", "other", "low2", "high2"), "key").filter("block <= other and least(low, low2) <> greatest(high, high2)")
+    two = two.select("key", F.struct("block", "other").alias("two"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    given = dealt.join(two, ["key", "block"]).join(nodes.select("node", "keys"), "node").join(texts, "node")
+    given = given.select("key", F.col("two.block").alias("x"), F.col("two.other").alias("y"), "block", "node", "label", "keys", "text")
+    order = ["key", "x", "y"]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher()
+        group: list[tuple] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    if group and row[:3] != group[0][:3]:
+                        yield _links_in(group)
+                        group = []
+                    group.append((*row[:7], sketcher.kmers(row[7])))
+        if group:
+            yield _links_in(group)
+
+    return given.repartition(*order).sortWithinPartitions(*order).mapInArrow(mapped, "a binary, b binary")
+
+
+def _links_in(group: list[tuple]) -> pa.RecordBatch:
+    """Links between different classes of two blocks of a bucket: (key, x, y, block, node, label, keys, k-mers)."""
+    key, x, y = group[0][:3]
+    bands = np.array([g[6] for g in group], np.int64)
+    band = int(np.argmax(bands[0] == key))
+    length = np.array([len(g[7]) for g in group], np.float64)
+    side = np.array([g[3] == x for g in group])
+    root = {g[5]: g[5] for g in group}
+
+    def top(label: bytes) -> bytes:
+        while root[label] != label:
+            root[label] = root[root[label]]
+            label = root[label]
+        return label
+
+    out = []
+    for i in range(len(group)):
+        ok = np.argmax(bands == bands[i], axis=1) == band
+        ok &= np.minimum(length, length[i]) >= SIMILARITY * (length + length[i]) / (1 + SIMILARITY) - 1e-9
+        ok &= side != side[i] if x != y else True
+        for j in np.flatnonzero(ok[:i]).tolist():
+            p, q = top(group[i][5]), top(group[j][5])
+            if p != q and aligned(group[i][7], group[j][7]):
+                root[max(p, q)] = min(p, q)
+                out.append((group[i][4], group[j][4]))
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def classes(docs: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, node, class (a label), class_id, class_size for every row of docs (doc_id, text)."""
     sketches = space.write(sketch(docs), "sketches")

@@ -11,9 +11,9 @@ Equal texts are one node (by SHA-256). Classes are the connected components of t
 In each bucket (texts with an equal band) every text is first held against one leader: the text with most company over
 all its bands, so that the copies of one original meet in it. A text that is similar to no leader is then held against
 every other text of its buckets of up to eight, and against a text drawn from each larger one. Last, where classes meet
-in a bucket, all pairs of different classes are aligned in buckets of up to eight, and in larger ones all texts against a
-text of the first and of the last class. Two texts at a similarity of 0.8 share ten of the 24 bands on average, and a
-link that one bucket of up to eight holds is never lost; the README has the measured share.
+in a bucket, all pairs of different classes are aligned in buckets of up to eight; in larger ones first all texts against
+a text of the first and of the last class, then, where classes still meet, all pairs of different classes, in blocks.
+Two texts at a similarity of 0.8 share ten of the 24 bands on average, and a link that one bucket holds is never lost.
 
 Defined results: null is the empty text; texts without words are duplicates only of equal texts; a text of less than
 five words is a single k-mer; rows without an id or with repeated ids are rows of their own; class_id is the least

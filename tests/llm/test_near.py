@@ -85,3 +85,26 @@ def test_links_between_classes_that_meet_in_a_small_bucket(spark, make):
     docs = make(list(enumerate(texts)))
     got = {r["class_id"] for r in neardup.classes(docs.select("doc_id", "text"), Workspace(spark, "t")).collect()}
     assert got == {0}
+
+
+def test_family_without_its_original_against_all_pairs(spark, make):
+    """Copies of one text, edited so that many pairs are no links, are classed as by all pairs; most buckets are large."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for k in r.sample(range(200), 3):
+            w[k] = word()
+        texts.append(" ".join(w))
+    km = [Sketcher().kmers(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and aligned(km[i], km[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    docs = make(list(enumerate(texts)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs.select("doc_id", "text"), Workspace(spark, "t")).collect()}
+    assert len(set(label)) > 1 and [got[k] for k in range(len(texts))] == label
