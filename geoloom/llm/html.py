@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; block elements cut the page into lines. Each line has a ratio of text
 characters to tags; the ratios are smoothed by a Gaussian over neighbouring lines and clustered by a threshold (two
-means). The lines of the upper cluster vote for the element that holds most of them; that element is the content region,
-and all of its lines are kept, short ones too. Elements that are not content by their meaning (menus, scripts, forms,
+means). The outermost article or main element that holds most of the upper cluster is the content region, or else the
+lowest common ancestor of all its lines, with headings and paragraphs beside it; all lines of the region are kept, short
+ones too, and so is every line of the upper cluster. Elements that are not content by their meaning (menus, scripts, forms,
 comments, adverts and so on) have ratio 0 and are left out wherever they are.
 
 Defined results: a null or empty page, and one without content, gives the empty text; broken markup is read as the
@@ -40,6 +41,7 @@ NAMES = frozenset(
     "promotion related replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 REGION = frozenset("html body".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure".split())
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 #: An open element of a kind is ended by the start of another.
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
@@ -193,19 +195,25 @@ def extract(html: str | None) -> str:
         for e in lines[k][2]:
             if events.kinds[e] not in ENDS and events.kinds[e] not in ("b", "i", "em", "strong", "a", "span", "u", "font", "small", "code"):
                 votes[e] = votes.get(e, 0) + size
-    # The deepest element with most of the content; an article or main element with most of it is never left for a part.
-    region = 0
-    named = [e for e, v in votes.items() if events.kinds[e] in ("article", "main") and v > 0.5 * total]
+    # The outermost article or main element with most of the content, or else the lowest common ancestor of all content lines.
+    kind = events.kinds
+    named = [e for e, v in votes.items() if kind[e] in ("article", "main") and v > 0.5 * total]
     if named:
-        region = max(named)
+        region = min(named)
     else:
-        held = [e for e, v in votes.items() if v >= 0.9 * total]
-        region = max(held) if held else 0
-        if region and events.kinds[region] in ("blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "ul", "ol", "table", "tbody", "dl", "figure"):
-            path = next(x[2] for x in lines if region in x[2])
-            up = [e for e in path[: path.index(region)] if events.kinds[e] in ("div", "section", "body", "html", "article", "main")]
-            region = up[-1] if up else 0
-    return "\n\n".join(lines[k][0] for k in inside if not region or region in lines[k][2])
+        region = max((e for e, v in votes.items() if v == total), default=0)
+        path = next((x[2] for x in lines if region in x[2]), ())
+        up = [e for e in path[: path.index(region) + 1] if kind[e] in ("div", "section", "body", "html", "article", "main")] if region else []
+        region = up[-1] if up else 0
+        # Headings and paragraphs around it belong to it; a parent that holds anything else isn't taken.
+        for e in reversed(up[:-1]):
+            more = [x[2] for x in lines if e in x[2] and region not in x[2]]
+            if all(any(kind[k] in PROSE for k in line) for line in more):
+                region = e
+            else:
+                break
+    chosen = set(content)
+    return "\n\n".join(lines[k][0] for k in inside if not region or region in lines[k][2] or k in chosen)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,19 @@ def test_odd_pages(page, text):
     assert html.extract(page) == text
 
 
+def test_several_content_containers():
+    long = "".join(f"<p>{'the long text of this page goes on ' * 8}</p>" for _ in range(8))
+    intro = "intro words of it " * 3
+    whole = html.extract(f"<div><h1>Title</h1><div class=intro><p>{intro}</p></div><div class=text>{long}</div></div>").split("\n\n")
+    assert whole[:2] == ["Title", intro.strip()] and len(whole) == 10
+    first, second = "<p>first part of the main text here and there</p>" * 6, "<p>second part of the main text in the other place</p>" * 4
+    page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div><main><h1>Head</h1><article>{first}</article><section>{second}</section></main></body>"
+    whole = html.extract(page).split("\n\n")
+    assert whole[0] == "Head" and len(whole) == 11 and whole[-1].startswith("second")
+    whole = html.extract(f"<body><article>{first}</article><article>{second}</article><article>{second}</article></body>")
+    assert whole.count("first") == 6 and whole.count("second") == 8
+
+
 def test_pages(spark):
     out = queries.QUERIES["op6_html_extraction"](spark, oracle.DATA).collect()
     assert all(r["n_chars"] == len(r["text"]) > 0 for r in out)
