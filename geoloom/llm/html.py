@@ -132,6 +132,12 @@ class Events(HTMLParser):
                 self._close(k)
                 return
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # a declaration that the parser can't read is a comment up to its end
+            return self.parse_bogus_comment(i, report)
+
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][2]:
             self.skipped = True
@@ -164,11 +170,8 @@ def _threshold(x: np.ndarray) -> float:
 
 def _read(html: str, by_name: bool) -> Events:
     events = Events(by_name)
-    try:
-        events.feed(CONDITION.sub(" ", html))
-        events.close()
-    except AssertionError:  # a declaration that the parser can't read ends the page
-        pass
+    events.feed(CONDITION.sub(" ", html))
+    events.close()
     events.flush()
     return events
 

@@ -140,6 +140,12 @@ def test_several_content_containers():
     assert whole.count("first") == 6 and whole.count("second") == 8
 
 
+@pytest.mark.parametrize("declaration", ["<![foo]>", "<![ CDATA[x]]>", "<![>", "<![foo[x]]>", "<!foo>"])
+def test_unknown_declarations(declaration):
+    text = html.extract(f"<p>a</p>{declaration}<p>b</p>").split("\n\n")
+    assert text[0] == "a" and text[-1] == "b"
+
+
 def test_pages(spark):
     out = queries.QUERIES["op6_html_extraction"](spark, oracle.DATA).collect()
     assert all(r["n_chars"] == len(r["text"]) > 0 for r in out)
