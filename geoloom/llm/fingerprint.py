@@ -7,6 +7,9 @@ sum of its paragraphs' vectors, lane by lane, modulo a power of two:
 * 128 lanes modulo 2**16, the sum of +1/-1 signs hashed from the paragraph's word pairs: their inner products estimate
   how alike two fingerprints are.
 
+near_edited and near_next are taken from the whole sums of the signed lanes, before they are reduced for the fingerprint:
+a long text whose word pairs repeat thousands of times has sums beyond 2**16.
+
 So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 Defined results: null is the empty text, which has no paragraph and the zero vector; a text that isn't empty has one
@@ -196,7 +199,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = [part.split()[0] for part in schema.split(", ")]
 
         def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-            return wrap(hasher.vector(paragraphs(text)))
+            return hasher.vector(paragraphs(text))
 
         def batch() -> pa.RecordBatch:
             types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
@@ -211,7 +214,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
             of_edited, of_next = vector(edited), vector(after)
             last = (after, of_next)
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc_id, n, sha, show(own), show(of_edited), likeness(own, of_edited), likeness(own, of_next)))
+            out.append((doc_id, n, sha, show(wrap(own)), show(wrap(of_edited)), likeness(own, of_edited), likeness(own, of_next)))
             if len(out) == 256:
                 yield batch()
                 out.clear()

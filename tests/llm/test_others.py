@@ -107,6 +107,13 @@ def test_next_document_odd_rows(spark, make):
     assert run(make([(7, "x")]).filter("doc_id = 1")) == []
 
 
+def test_likeness_of_a_passage_repeated_many_times(spark, make, tmp_path):
+    passage = " ".join(f"word{k}" for k in range(50)) + "\n"
+    make([(1, passage * 20_000), (2, "some other text")]).write.parquet(f"{tmp_path}/documents.parquet")
+    row = queries.QUERIES["op5_fingerprint"](spark, str(tmp_path)).filter("doc_id = 1").first()
+    assert row["near_edited"] > 0.99 > 0.5 > row["near_next"]
+
+
 # --- HTML ---
 
 
