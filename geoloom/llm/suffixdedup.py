@@ -5,7 +5,8 @@ equal anchors, at equal offsets. Anchors that occur once settle their windows: t
 context (all bytes that its windows cover) occurs again settles them, too: they all repeat. What is left are contexts
 that share an anchor but differ; they are dealt to shards by the anchor, and each shard sorts all suffixes of its
 contexts by induction (see induced: suffixes and common prefixes travel through queues per byte, which spill to scratch
-files). A window repeats if its suffix has 200 bytes or more in common with a neighbour in that order.
+files). A window repeats if its suffix has 200 bytes or more in common with a neighbour in that order. An anchor whose
+contexts are more than a shard isn't sorted by one task: its windows are counted by their digests, which deals them out.
 
 A context holds exactly the windows of its anchor, so a window is judged once, and never against itself.
 
@@ -28,7 +29,7 @@ from .common import Workspace, parallelism, table
 from .induced import suffix_order
 
 KEY = ["id", "h"]
-#: Bytes of contexts sorted at a time: whole anchors, so one whose contexts are larger makes a larger sort.
+#: Bytes of contexts sorted at a time, and the most that one anchor may have to be sorted.
 SHARD_BYTES = 4 << 20
 
 
@@ -103,6 +104,31 @@ def sort_shards(contexts: DataFrame) -> DataFrame:
     return contexts.mapInArrow(mapped, "id long, h long, start int, end int")
 
 
+def with_asked(docs: DataFrame, asks: DataFrame) -> DataFrame:
+    """id, h, text, asked for the rows of docs that have asks (id, h, gram, first, last, judge)."""
+    asked = asks.groupBy(*KEY).agg(F.collect_set(F.struct("gram", "first", "last", "judge")).alias("asked"))
+    return docs.select(*KEY, "text").join(asked, KEY)
+
+
+def all_windows(rows: DataFrame) -> DataFrame:
+    """id, h, start, judge, digest (128 bits of BLAKE2b of its bytes) for every window of the asked contexts."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                out = []
+                for i, h, text, asked in zip(*(part.column(c).to_pylist() for c in ("id", "h", "text", "asked")), strict=True):
+                    raw = text.encode("utf-8", "surrogatepass")
+                    for a in asked:
+                        out += [(i, h, k, a["judge"], hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest()) for k in range(a["first"], a["last"] + 1)]
+                cols = list(zip(*out, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "h", "start", "judge", "digest"])
+
+    return rows.mapInArrow(mapped, "id long, h long, start int, judge boolean, digest binary")
+
+
 def repeated_ranges(docs: DataFrame, space: Workspace) -> DataFrame:
     """id, h, ranges: array<struct<start,end>> of the bytes of repeated windows, for the rows that have any."""
     anchors = space.write(all_anchors(docs), "anchors")
@@ -117,8 +143,10 @@ def repeated_ranges(docs: DataFrame, space: Workspace) -> DataFrame:
     decided = space.write(decided.select(*KEY, "gram", "first", "last", full.alias("full"), ask.alias("ask")).filter("full or ask"), "decided")
     space.drop("flagged")
     space.release()
-    wanted = decided.filter("ask").groupBy(*KEY).agg(F.collect_set(F.struct("gram", "first", "last", (~F.col("full")).alias("judge"))).alias("asked"))
-    rows = docs.select(*KEY, "text").join(wanted, KEY)
+    asks = decided.filter("ask").select(*KEY, "gram", "first", "last", (~F.col("full")).alias("judge"))
+    hot = space.write(asks.groupBy("gram").agg(F.sum(F.col("last") - F.col("first") + WINDOW).alias("size")).filter(F.col("size") > SHARD_BYTES).select("gram"), "hot")
+    any_hot = bool(hot.limit(1).count())
+    rows = with_asked(docs, asks.join(hot, "gram", "left_anti") if any_hot else asks)
     names = ["gram", "id", "h", "first", "last", "judge", "raw"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
 
@@ -139,6 +167,10 @@ def repeated_ranges(docs: DataFrame, space: Workspace) -> DataFrame:
     found = space.write(sort_shards(dealt), "found")
     space.release()
     whole = decided.filter("full").select(*KEY, F.col("first").alias("start"), (F.col("last") + WINDOW).alias("end"))
+    if any_hot:
+        windows = space.write(all_windows(with_asked(docs, asks.join(hot, "gram"))), "windows")
+        often = windows.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+        found = found.union(windows.filter("judge").join(often, "digest").select(*KEY, "start", (F.col("start") + WINDOW).alias("end")))
     return whole.union(found).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoloom.llm import suffixdedup
 from geoloom.llm.anchors import Anchors, sliding_min
@@ -91,6 +92,26 @@ def test_removal_against_windows(spark, make):
     assert [got[k] for k in range(len(texts))] == brute_kept(texts)
 
 
+def test_anchors_larger_than_a_shard(spark, make, monkeypatch):
+    """A passage in every text gives each a context of its own at the edges; no anchor of them is sorted by one task."""
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, half = text(400), text(150)
+    texts = [text(r.randint(150, 250)) + (half if k % 3 else "") + passage + (half if k % 2 else "") + text(r.randint(150, 250)) for k in range(60)]
+    sizes, sort = [], suffixdedup.sort_shards
+
+    def spy(contexts):
+        sizes.extend(row["size"] for row in contexts.groupBy("gram").agg(F.sum(F.length("raw")).alias("size")).collect())
+        return sort(contexts)
+
+    monkeypatch.setattr(suffixdedup, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(suffixdedup, "sort_shards", spy)
+    docs = suffixdedup.keyed(make(list(enumerate(texts))))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in suffixdedup.remove(docs, suffixdedup.repeated_ranges(docs, Workspace(spark, "t"))).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_kept(texts)
+    assert max(sizes, default=0) <= 4000
+
+
 def test_empty_table_and_repeated_ids(spark, make):
     docs = suffixdedup.keyed(make([(1, "x" * 250), (1, "y" * 250), (None, "z")]))
     none = docs.filter("doc_id = 9")
