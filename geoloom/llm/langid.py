@@ -54,14 +54,24 @@ def packed_letters() -> np.ndarray:
     return np.packbits(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
-def gram_counts(text: str | None, dims: int, letter: np.ndarray) -> tuple[np.ndarray, int]:
+def gram_counts(text: str | None, dims: int, letter: np.ndarray, by_sign: bool = False) -> tuple[np.ndarray, int]:
     """Counts of the hashed n-grams, and the number of letters. Runs of other characters are one blank.
 
+    If by_sign, each n-gram counts as 1 or -1 by its hash, so that n-grams which collide cancel: those of a long text of no known
+    language fill the dimensions, but are no nearer to a centroid than those of a short one.
+
     Long texts are counted in pieces that overlap by two code points at a seam without counting an n-gram twice.
     """
     total, n_letters = np.zeros(dims, np.int64), 0
     shift = np.uint32(32 - (dims.bit_length() - 1))
     text = (text or "").lower()
+
+    def counted(h: np.ndarray) -> np.ndarray:
+        if not by_sign:
+            return np.bincount((h * np.uint32(2654435761)) >> shift, minlength=dims)
+        sign = 1 - 2 * (((h ^ (h >> np.uint32(16))) * np.uint32(2246822507)) >> np.uint32(31)).astype(np.int8)
+        return np.bincount((h * np.uint32(2654435761)) >> shift, sign, dims).astype(np.int64)
+
     piece, before = 1 << 20, np.array([32], np.uint32)
     for at in range(0, len(text), piece):
         codes = np.frombuffer(text[at : at + piece].encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -73,7 +83,7 @@ def gram_counts(text: str | None, dims: int, letter: np.ndarray) -> tuple[np.nda
         codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
         done = len(before) if at else 0
         new1 = codes[done:]
-        total += np.bincount((new1 * np.uint32(2654435761)) >> shift, minlength=dims)
+        total += counted(new1)
         for n in (2, 3):
             start = max(0, done - n + 1)
             own = codes[start:]
@@ -82,14 +92,15 @@ def gram_counts(text: str | None, dims: int, letter: np.ndarray) -> tuple[np.nda
                 for k in range(n):
                     h = (h ^ own[k : len(own) - n + 1 + k]) * np.uint32(2246822519 + 2 * n)
                     h ^= h >> np.uint32(15)
-                total += np.bincount((h * np.uint32(2654435761)) >> shift, minlength=dims)
+                total += counted(h)
         before = codes[-2:]
     return total, n_letters
 
 
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of counts as normalised TF-IDF."""
-    x = np.log1p(counts.astype(np.float32)) * idf
+    counts = counts.astype(np.float32)
+    x = np.sign(counts) * np.log1p(np.abs(counts)) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -126,12 +137,12 @@ def fit(docs: DataFrame, p: Params) -> Model:
         letter = np.unpackbits(packed).astype(bool)
         out: dict[str, list] = {"lang": [], "at": [], "n": []}
         for lang, text in zip(x["lang"], x["text"], strict=True):
-            counts, letters = gram_counts(text, dims, letter)
+            counts, letters = gram_counts(text, dims, letter, True)
             if letters:
                 at = np.flatnonzero(counts)
                 out["lang"].append(lang)
                 out["at"].append(at.tolist())
-                out["n"].append(np.minimum(counts[at], 2**31 - 1).tolist())
+                out["n"].append(np.clip(counts[at], -(2**31) + 1, 2**31 - 1).tolist())
         return out
 
     got = sample.mapInArrow(by_slices(featurise, schema), "lang string, at array<int>, n array<int>").limit(2 * p.per_language * len(sizes)).toArrow()
@@ -172,7 +183,7 @@ def classify(docs: DataFrame, model: Model, p: Params, keep: list[str]) -> DataF
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = part.column(source).to_pylist()
-                counts, letters = zip(*(gram_counts(t, dims, letter) for t in texts), strict=True)
+                counts, letters = zip(*(gram_counts(t, dims, letter, True) for t in texts), strict=True)
                 langs, scores, rejected = [UNDETERMINED] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if m.languages:
                     near = _weigh(np.stack(counts), m.idf) @ m.centroids.T

@@ -72,3 +72,19 @@ def test_gram_counts_do_not_depend_on_pieces(monkeypatch):
     small, n = langid.gram_counts(text, 1 << 10, letter)
     assert n == sum(c.isalpha() for c in text)
     assert small.sum() > 3 * len(text) * 0.8
+
+
+def test_long_texts_of_no_known_language_are_rejected(spark, make):
+    import random
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    p = langid.Params()
+    model = langid.fit(docs, p)
+    r = random.Random(8)
+    latin, han, cyrillic = "abcdefghijklmnopqrstuvwxyz", [chr(k) for k in range(0x4E00, 0x5600)], [chr(k) for k in range(0x430, 0x450)]
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
+    rows = [" ".join(word(letters) for _ in range(n)) for letters in (latin, han, cyrillic) for n in (300, 1000, 5000, 20_000)]
+    out = langid.classify(make(list(enumerate(rows))), model, p, ["doc_id"]).collect()
+    assert all(x["rejected"] for x in out), [(x["doc_id"], x["score"]) for x in out if not x["rejected"]]
+    kept = langid.classify(docs.filter("n_chars > 500 and lang is not null"), model, p, ["doc_id", "lang"]).collect()
+    assert sum(not x["rejected"] and x["lang_pred"] == x["lang"] for x in kept) > 0.95 * len(kept)
