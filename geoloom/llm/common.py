@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a Python kernel turns into Python objects at a time; an Arrow batch is cut into slices of this many.
@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a single machine, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else own_dir()
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return own_dir()
 
 
 @cache
@@ -89,3 +93,43 @@ def id_remainder(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once a row although use may name it in lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def merged(spans: Column) -> Column:
+    """array<struct<start,end>> of the maximal runs that spans (struct<start,end>, any order, end exclusive) cover."""
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["end"] > s["start"]), lambda s: F.sequence(s["start"], s["end"] - 1)))))
+
+    def runs(at: Column) -> Column:
+        starts = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) + 1 != x))
+        ends = F.transform(F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - 1 != x)), lambda x: x + 1)
+        return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.struct(r["a"].alias("start"), r["b"].alias("end")))
+
+    return bound(covered, runs)
+
+
+def clear_of(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column has it (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key with more than this part of the rows is hot, so there are at most as many hot keys as its inverse.
+HOT_PART = 1 / 2000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined to facts, which has one row per key and in `count` the number of rows with it; total: the number of rows.
+
+    Rows of hot keys meet their facts by broadcast, where they are; there are less than 1 / HOT_PART such keys.
+    """
+    hot = F.col(count) > total * HOT_PART
+    few = facts.filter(hot)
+    most = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.filter(~hot), keys)
+    return most.unionByName(rows.join(F.broadcast(few), keys))

@@ -2,20 +2,22 @@
 
 Every version of a document is addressed by the SHA-256 of its content. A ledger holds the (blob, rule set version) pairs
 already scanned; only pairs that it lacks are scanned, and findings, which are kept per blob, are joined back to every
-path (doc_id) that ever held the blob. All of it is DataFrame expressions.
+path (doc_id) that ever held the blob. Ledger and findings are tables that outlive a run; all of it is DataFrame
+expressions.
 
 Defined results: a null text is the empty text; null or repeated ids are kept, a row each; equal texts are scanned once;
-other columns of the input are ignored; an empty table gives an empty result.
+a text of any length is scanned whole, in time linear in its matches; other columns of the input are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Workspace, table
 
 
 @dataclass(frozen=True)
@@ -43,30 +45,22 @@ ADDED_RULES = (
 )
 RULES = BASE_RULES + ADDED_RULES
 RULES_VERSION = "1"
+#: Places that the findings of a blob are dealt to, for the look-up of its paths.
+SALTS = 8
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct<start,kind_order,end>> of a rule's spans, in code points.
-
-    The gaps between matches and the matches alternate, so the running sum of their lengths places each match.
-    """
+def _hits(text: Column, rule: Rule, order: int) -> Column:
+    """array<struct<kind,k,gap,hit,held>> of a rule's matches: lengths of what is before each, of itself and of its group."""
     gaps = F.split(text, F.lit(rule.pattern), -1)
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
-    parts = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), held.alias("held"))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"),
-        F.when(
-            F.length(p["held"]) >= rule.min_chars,
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), F.lit(order).alias("kind"), (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end")))),
-        )
-        .otherwise(acc["spans"])
-        .alias("spans"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans"))
-    found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    parts = F.transform(
+        F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), held.alias("held")),
+        lambda p, k: F.struct(F.lit(order).alias("kind"), k.alias("k"), F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), F.length(p["held"]).alias("held")),
+    )
+    found = F.filter(parts, lambda p: p["hit"].isNotNull())  # the last gap has no match after it
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast("array<struct<kind:int,k:int,gap:int,hit:int,held:int>>"))
 
 
 def address(docs: DataFrame) -> DataFrame:
@@ -76,10 +70,19 @@ def address(docs: DataFrame) -> DataFrame:
 
 
 def scan(blobs: DataFrame) -> DataFrame:
-    """blob, rules_version, spans: the findings of distinct blobs (blob, text) that have any."""
-    spans = F.concat(*[_spans(F.col("text"), rule, k) for k, rule in enumerate(RULES)])
-    found = blobs.select("blob", F.lit(RULES_VERSION).alias("rules_version"), F.array_sort(spans).alias("spans"))
-    return found.filter(F.size("spans") > 0)
+    """blob, rules_version, spans (array<struct<start,kind,end>>, code points): the findings of distinct blobs (blob, text).
+
+    Gaps and matches alternate in a text, so the running sum of their lengths places each match: a window over the
+    matches of a blob, which is linear in them.
+    """
+    hits = F.concat(*[_hits(F.col("text"), rule, k) for k, rule in enumerate(RULES)])
+    rows = blobs.select("blob", F.explode(hits).alias("m")).select("blob", "m.*")
+    before = Window.partitionBy("blob", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("hit")).over(before).cast("int")
+    least = F.element_at(F.array(*[F.lit(r.min_chars) for r in RULES]), F.col("kind") + 1)
+    placed = rows.select("blob", "kind", "hit", "held", end.alias("end")).filter(F.col("held") >= least)
+    spans = F.array_sort(F.collect_list(F.struct((F.col("end") - F.col("hit")).alias("start"), "kind", "end")))
+    return placed.groupBy("blob").agg(spans.alias("spans")).select("blob", F.lit(RULES_VERSION).alias("rules_version"), "spans")
 
 
 def unseen(addressed: DataFrame, ledger: DataFrame | None) -> DataFrame:
@@ -91,18 +94,45 @@ def unseen(addressed: DataFrame, ledger: DataFrame | None) -> DataFrame:
     return blobs.join(done, "blob", "left_anti")
 
 
-def advance(docs: DataFrame, ledger: DataFrame | None, findings: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The ledger and the findings after docs have been scanned; both are to be written by the caller."""
-    addressed = address(docs)
-    fresh = unseen(addressed, ledger)
-    pairs = addressed.select("blob").distinct().select("blob", F.lit(RULES_VERSION).alias("rules_version"))
-    seen = pairs if ledger is None else ledger.select("blob", "rules_version").union(pairs).distinct()
-    found = scan(fresh)
-    return seen, found if findings is None else findings.select("blob", "rules_version", "spans").union(found)
+class Ledger:
+    """The pairs (blob, rules_version) that have been scanned, and their findings, as Parquet under a shared folder.
+
+    A run adds one folder to each: the findings first, then the pairs, so that a run which dies in between is scanned
+    again and its findings count once.
+    """
+
+    PAIRS, FINDINGS = "blob string, rules_version string", "blob string, rules_version string, spans array<struct<start:int,kind:int,end:int>>"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
+    def pairs(self) -> DataFrame:
+        return self._read("pairs", self.PAIRS)
+
+    def findings(self) -> DataFrame:
+        return self._read("findings", self.FINDINGS).dropDuplicates(["blob", "rules_version"])
+
+    def update(self, docs: DataFrame) -> None:
+        """Scans the versions that the ledger lacks, and enters them."""
+        addressed = address(docs)
+        done = self.pairs()
+        scan(unseen(addressed, done)).write.mode("append").parquet(f"{self.root}/findings")
+        new = addressed.select("blob").distinct().select("blob", F.lit(RULES_VERSION).alias("rules_version"))
+        new.join(done, ["blob", "rules_version"], "left_anti").write.mode("append").parquet(f"{self.root}/pairs")
 
 
 def join_back(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Every row of docs with the spans of its blob: doc_id, n_<kind> per base kind, base_sha256, spans."""
+    """Every row of docs with the spans of its blob: doc_id, n_<kind> per base kind, base_sha256, spans.
+
+    A blob may have a large part of all paths, so a finding is dealt to SALTS places, and each path looks it up in one.
+    """
     found = findings.filter(F.col("rules_version") == RULES_VERSION)
     kinds = F.array(*[F.lit(r.kind) for r in RULES])
     n_base = len(BASE_RULES)
@@ -113,9 +143,9 @@ def join_back(docs: DataFrame, findings: DataFrame) -> DataFrame:
         *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)],
         F.sha2(said(F.filter("spans", lambda s: s["kind"] < n_base)), 256).alias("base_sha256"),
         said(F.col("spans")).alias("said"),
-    )
-    paths = address(docs).select("doc_id", "blob")
-    return paths.join(digest, "blob", "left").select(
+    ).withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    paths = address(docs).select("doc_id", "blob", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    return paths.join(digest, ["blob", "salt"], "left").select(
         "doc_id",
         *[F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE_RULES],
         F.coalesce("base_sha256", F.lit(EMPTY_SHA256)).alias("base_sha256"),
@@ -125,8 +155,9 @@ def join_back(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    _, findings = advance(docs, None, None)
-    return join_back(docs, findings)
+    ledger = Ledger(spark, Workspace(spark, "op9").root)
+    ledger.update(docs)
+    return join_back(docs, ledger.findings())
 
 
 def _oracle() -> str:
