@@ -11,7 +11,8 @@ of min_words words that begin or end at each line: these cover a repeated run wh
 
 Defined results: a null text stays null and has no lines; an empty text has one empty line; rows that agree in all
 columns are copies: all but one lose their whole text if it has min_words words; among rows with one id, the order of
-their hashes decides which comes first; all columns of the input are kept.
+their hashes decides which comes first; all columns of the input are kept, and an added column whose name is taken gets
+underscores before it; texts of any length are cut in time linear in their lines; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, parallelism, table
+from .common import Workspace, bound, clear_of, join_hot, merged, parallelism, table
 
-MIN_WORDS = 25
+#: Runs of fewer words are trivially short.
+MIN_WORDS = 5
 KEY = ["id", "h"]
 
 
@@ -121,15 +123,11 @@ def repeated_runs(docs: DataFrame, space: Workspace, min_words: int = MIN_WORDS)
         named = first if named is None else named.unionByName(first)
     named = space.write(named.select(*KEY, "start", "n", "r1", "r2"), "named")
     place = F.struct("id", "h", "start")
-    first = named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = named.join(first, ["n", "r1", "r2"]).filter(place > F.col("first"))
-    spans = later.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
-    cuts = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return spans.select(*KEY, cuts.alias("cuts"))
+    first = named.groupBy("n", "r1", "r2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    first = space.write(first, "first")
+    later = join_hot(named, first, ["n", "r1", "r2"], "times", named.count()).filter(place > F.col("first"))
+    spans = later.groupBy(*KEY).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("spans"))
+    return spans.select(*KEY, merged(F.col("spans")).alias("cuts"))
 
 
 def _deeper(now: DataFrame, depth: int, space: Workspace) -> DataFrame:
@@ -145,24 +143,28 @@ def _deeper(now: DataFrame, depth: int, space: Workspace) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, space: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later copies of repeated line runs deleted from text; added: n_lines, n_removed.
+    """docs with the later copies of repeated line runs deleted from text; added: n_lines, n_removed (see clear_of).
 
     A deleted run takes its line feeds with it; what stays is joined by single line feeds.
     """
     cols = docs.columns
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__h": F.xxhash64(*cols)})
-    cuts = repeated_runs(keyed.select(F.col("__id").alias("id"), F.col("__h").alias("h"), "text"), space, min_words)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(*cols).alias("h"), F.struct(*cols).alias("row"))
+    cuts = repeated_runs(keyed.select(*KEY, "row.text"), space, min_words)
     # Copies of a whole row collapse on the way; the row's count brings them back.
-    rows = keyed.groupBy("__id", "__h").agg(F.first(F.struct(*cols)).alias("row"), F.count("*").cast("int").alias("copies"))
-    rows = rows.join(cuts.toDF("__id", "__h", "cuts"), ["__id", "__h"], "left")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    rows = keyed.groupBy(*KEY).agg(F.first("row").alias("row"), F.count("*").cast("int").alias("copies"))
+    rows = rows.join(cuts, KEY, "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     line = F.split("row.text", "\n", -1)
     n_lines = F.coalesce(F.size(line), F.lit(0))
     long = F.regexp_count("row.text", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words
-    kept = F.filter(line, lambda x, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["end"])))
+    # What stays are the stretches between the cuts.
+    froms = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda c: c["end"]))
+    tos = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(n_lines))
+    work = F.struct(line.alias("line"), F.arrays_zip(froms.alias("a"), tos.alias("b")).alias("stays"))
+    kept = bound(work, lambda x: F.concat_ws("\n", F.flatten(F.transform(x["stays"], lambda s: F.slice(x["line"], s["a"] + 1, s["b"] - s["a"])))))
     removed = F.when((F.col("copy") > 1) & long, n_lines).otherwise(F.coalesce(F.aggregate("cuts", F.lit(0), lambda acc, c: acc + c["end"] - c["start"]), F.lit(0)))
-    text = F.when(removed == 0, F.col("row.text")).when(removed >= n_lines, F.lit("")).otherwise(F.concat_ws("\n", kept))
-    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in cols], n_lines.alias("n_lines"), removed.alias("n_removed"))
+    text = F.when(removed == 0, F.col("row.text")).when(removed >= n_lines, F.lit("")).otherwise(kept)
+    own = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in cols]
+    return rows.select(*own, n_lines.alias(clear_of(cols, "n_lines")), removed.alias(clear_of(cols, "n_removed")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +176,8 @@ OP2_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) n, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) s FROM l),
 runs AS (
-  SELECT a.doc_id, a.i a, min(b.i) b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.n >= 25 GROUP BY 1, 2
-  UNION SELECT b.doc_id, max(a.i), b.i FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.n >= 25 GROUP BY 1, b.i),
+  SELECT a.doc_id, a.i a, min(b.i) b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.n >= 5 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.i), b.i FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.s - a.s + a.n >= 5 GROUP BY 1, b.i),
 k AS (SELECT r.doc_id, r.a, r.b, string_agg(line, chr(10) ORDER BY i) t FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.i BETWEEN r.a AND r.b GROUP BY 1, 2, 3),
 f AS (SELECT *, min((doc_id, a)) OVER (PARTITION BY t) first FROM k),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) i FROM f WHERE (doc_id, a) > first),
