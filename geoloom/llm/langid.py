@@ -4,12 +4,13 @@ A text becomes a normalised TF-IDF vector over hashed character 1- to 3-grams of
 centroids (spherical k-means over its fitting texts); a text takes the language of the nearest by cosine. A text that is
 farther from every centroid than nearly all fitting texts are from theirs is rejected.
 
-Fitting uses at most about `per_language` texts of each language (a bounded, documented sample by a hash of the id);
-every row is classified, on its whole text.
+Fitting uses at most about `per_language` texts of each of the `max_languages` most frequent languages and `max_rows` in
+all (a bounded, documented sample by a hash of the id); every row is classified, on its whole text.
 
 Defined results: a null text and one without a letter get `und`, score 0.0 and are rejected; equal similarities go to
-the language first in code-point order; repeated rows get equal results; without fitting rows all get `und`; other
-columns of the input are ignored.
+the language first in code-point order; repeated rows get equal results; without fitting rows all get `und`; long texts
+are counted in pieces; other columns of the input are ignored or kept, and an added column whose name is taken gets
+underscores before it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_slices, id_remainder, table
+from .common import by_slices, clear_of, id_remainder, table
 
 UNDETERMINED = "und"
 
@@ -31,6 +32,9 @@ UNDETERMINED = "und"
 class Params:
     dims: int = 1 << 13
     per_language: int = 400
+    #: The most frequent languages are learned, and this many texts at most in all.
+    max_languages: int = 256
+    max_rows: int = 8000
     centroids: int = 4
     rounds: int = 12
     #: Rejection: below this part of the similarity that all but 1 in 200 fitting texts of the centroid reach...
@@ -120,15 +124,15 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame, p: Params) -> Model:
     """docs: text and a lang that isn't null (rows without a letter are ignored)."""
     docs = docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    often = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_languages)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
     dims = p.dims
     none = Model([], np.zeros((0, dims), np.float32), np.zeros(dims, np.float32), np.zeros(0))
     if not sizes:
         return none
-    share = F.lit(0)
-    for lang, n in sizes.items():  # one row per language label
-        share = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, p.per_language / n))).otherwise(share)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text")
+    each = min(p.per_language, max(1, p.max_rows // len(sizes)))
+    shares = docs.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, each / n))) for lang, n in sizes.items()], "lang string, share long")
+    sample = docs.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share")).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     packed = packed_letters()
@@ -145,7 +149,7 @@ def fit(docs: DataFrame, p: Params) -> Model:
                 out["n"].append(np.clip(counts[at], -(2**31) + 1, 2**31 - 1).tolist())
         return out
 
-    got = sample.mapInArrow(by_slices(featurise, schema), "lang string, at array<int>, n array<int>").limit(2 * p.per_language * len(sizes)).toArrow()
+    got = sample.mapInArrow(by_slices(featurise, schema), "lang string, at array<int>, n array<int>").limit(2 * each * len(sizes)).toArrow()
     rows: dict[str, list] = {}
     for lang, at, n in zip(*(got[c].to_pylist() for c in ("lang", "at", "n")), strict=True):
         rows.setdefault(lang, []).append((at, n))
@@ -155,7 +159,7 @@ def fit(docs: DataFrame, p: Params) -> Model:
     for own in rows.values():
         for at, _ in own:
             df[at] += 1
-    idf = np.log((1 + df.sum() / max(df.max(), 1) * 1.0 + sum(map(len, rows.values()))) / (1 + df)).astype(np.float32)
+    idf = (np.log((1 + sum(map(len, rows.values()))) / (1 + df)) + 1).astype(np.float32)
     langs, centres, reach = [], [], []
     for lang in sorted(rows):
         own = sorted(rows[lang])
@@ -171,11 +175,12 @@ def fit(docs: DataFrame, p: Params) -> Model:
 
 
 def classify(docs: DataFrame, model: Model, p: Params, keep: list[str]) -> DataFrame:
-    """The columns in keep, with lang_pred, score and rejected, for every row of docs."""
+    """The columns in keep, with lang_pred, score and rejected (see clear_of), for every row of docs."""
+    added = [clear_of(keep, c) for c in ("lang_pred", "score", "rejected")]
     source = "text"
     dims, m, packed = p.dims, model, packed_letters()  # centroids x dims travel with the kernel
     fields = [docs.schema[c] for c in keep]
-    out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
+    out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {added[0]} string, {added[1]} double, {added[2]} boolean"
 
     def mapped(batches):  # noqa: ANN001, ANN202
         letter = np.unpackbits(packed).astype(bool)
@@ -193,7 +198,7 @@ def classify(docs: DataFrame, model: Model, p: Params, keep: list[str]) -> DataF
                             langs[k], scores[k] = m.languages[j], float(min(1.0, max(0.0, near[k, j])))
                             rejected[k] = scores[k] < (m.reach[j] if letters[k] >= p.reject_letters else p.reject_floor)
                 cols = [part.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
 
     return docs.select(*keep, *([] if source in keep else [source])).mapInArrow(mapped, out_type)
 
