@@ -6,10 +6,11 @@ row, so its last `window` words are an occurrence of a window; the state of that
 than a window count whole. Hit words form spans, which `clean` removes when they exceed length and coverage limits.
 
 Defined results: null texts have no words; items without words are ignored; repeated items count by id, once each (null
-ids are ignored); repeated documents are rows of their own; an empty benchmark hits nothing; other columns are ignored.
+ids are ignored); repeated documents are rows of their own; long texts are streamed word by word; an empty benchmark hits
+nothing; an empty table gives an empty result; other columns are ignored, or kept in a struct of their own.
 
-Size: an automaton holds at most `max_words` item words. Beyond that, items are dealt over several automata: every
-document is streamed through each of them, and the spans are united (see `spans`).
+Size: an automaton holds about `max_words` item words. Beyond that, items are dealt over several automata: every
+document is streamed through each of them, and the spans and items are united (see `spans`), with the same result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parallelism, table
+from .common import merged, parallelism, table
 
 WINDOW = 10
 MAX_WORDS = 200_000
@@ -130,70 +131,87 @@ class Automaton:
         return np.cumsum(diff[:n]) > 0, found
 
 
-def _groups(benchmark: DataFrame, max_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in order of id, cut into groups of at most max_words words (one item at least)."""
-    out: list[list[tuple[str, list[bytes]]]] = []
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna().orderBy("item_id")
-    for row in rows.toLocalIterator():
-        own = words(row["text"])
-        if own:
-            if not out or size + len(own) > max_words:
-                out.append([])
-                size = 0
-            out[-1].append((row["item_id"], own))
-            size += len(own)
-    return out
+def _known(benchmark: DataFrame) -> DataFrame:
+    """item_id (text), text, n (words) of the items that count."""
+    n = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna().withColumn("n", n).filter("n > 0")
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """For every row: doc_id, n_words, n_hit, items (sorted ids), spans array<struct<start,end>> (words, end exclusive), and
-    the columns in keep.
+    row: a struct of the columns in keep, if any.
 
-    One automaton: a narrow step. Several: rows are dealt once to each, keyed by a row number, and united again.
+    One automaton (the items, at most max_words words, are broadcast): a narrow step. Several: items are dealt to parts by
+    their hash, every row goes once to each part, in one of several groups that begin with the part's items, and its parts
+    are united by a row number; the driver then sees no item.
     """
-    groups = _groups(benchmark, max_words) or [[]]
-    base = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("kept"), F.col("text").alias("text"))
+    kept = [F.struct(*keep).alias("row")] if keep else []
+    base = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *kept).alias("kept"), F.col("text").alias("text"))
     kept_type = base.schema["kept"].dataType.simpleString()
-    if len(groups) > 1:
-        spark = docs.sparkSession
-        base = base.withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))))
-        base = base.repartition(parallelism(spark) * 2, "part", "row").sortWithinPartitions("part")
-    held = [docs.sparkSession.sparkContext.broadcast(g) for g in groups]  # each at most max_words words
-    extra = ["row", "part"] if len(groups) > 1 else []
-    schema = f"kept {kept_type}, n_words long, items array<string>, spans array<struct<start:int,end:int>>" + "".join(f", {c} {'long' if c == 'row' else 'int'}" for c in extra)
+    items = _known(benchmark)
+    total = items.agg(F.sum("n")).first()[0] or 0
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Automaton] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                which = part.column("part").to_pylist() if extra else [0] * part.num_rows
-                n_words, items, found_spans = [], [], []
-                for text, g in zip(part.column("text").to_pylist(), which, strict=True):
-                    if g not in made:
-                        made.clear()  # rows come sorted by part
-                        made[g] = Automaton(held[g].value, window)
-                    own = words(text)
-                    hit, found = made[g].hits(own)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    n_words.append(len(own))
-                    items.append(sorted({made[g].names[k] for k in found}))
-                    found_spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                cols = [part.column("kept"), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(found_spans, pa.list_(span))]
-                yield pa.RecordBatch.from_arrays([*cols, *(part.column(c) for c in extra)], names=["kept", "n_words", "items", "spans", *extra])
-
-    out = base.mapInArrow(mapped, schema)
-    if extra:
-        # What is kept stays with the first part; a row's parts meet again by the row's number.
-        agg = out.groupBy("row").agg(F.max(F.when(F.col("part") == 0, F.col("kept"))).alias("kept"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-        joined = F.aggregate(
-            "spans",
-            F.array().cast("array<struct<start:int,end:int>>"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
-        )
-        out = agg.withColumn("spans", joined)
+    schema = f"kept {kept_type}, n_words long, items array<string>, spans array<struct<start:int,end:int>>"
+
+    def matched(texts: list, automata: list[Automaton]) -> list[pa.Array]:
+        n_words, names, found_spans = [], [], []
+        for text, automaton in zip(texts, automata, strict=True):
+            own = words(text)
+            hit, found = automaton.hits(own)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+            n_words.append(len(own))
+            names.append(sorted({automaton.names[k] for k in found}))
+            found_spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+        return [pa.array(n_words, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(found_spans, pa.list_(span))]
+
+    if total <= max_words:
+        held = docs.sparkSession.sparkContext.broadcast([(r["item_id"], words(r["text"])) for r in items.orderBy("item_id").collect()])
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = None
+            for batch in batches:
+                automaton = automaton or Automaton(held.value, window)
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    cols = matched(part.column("text").to_pylist(), [automaton] * part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column("kept"), *cols], names=["kept", "n_words", "items", "spans"])
+
+        out = base.mapInArrow(one, schema)
+    else:
+        n_parts = -(-total * 5 // (4 * max_words))  # parts are filled by hash, so a little more than needed
+        tasks = 2 * parallelism(docs.sparkSession)
+        salts = -(-tasks // n_parts)
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        dealt = dealt.select("part", "salt", F.lit(0).alias("kind"), "item_id", "text", F.lit(None).cast("long").alias("number"), F.lit(None).cast(kept_type).alias("kept"))
+        rows = base.withColumn("number", F.monotonically_increasing_id()).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_parts - 1).cast("long"))))
+        rows = rows.select("part", F.pmod(F.xxhash64("number"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("item_id"), "text", "number", "kept")
+
+        def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: list[tuple] = []
+            group, automaton = None, None
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    at_docs, automata, texts = [], [], part.column("text").to_pylist()
+                    for k, (p, salt, kind, item) in enumerate(zip(*(part.column(c).to_pylist() for c in ("part", "salt", "kind", "item_id")), strict=True)):
+                        if (p, salt) != group:
+                            group, automaton, own = (p, salt), None, []
+                        if kind == 0:
+                            own.append((item, words(texts[k])))
+                        else:
+                            if automaton is None:
+                                automaton, own = Automaton(own, window), []
+                            at_docs.append(k)
+                            automata.append(automaton)
+                    if at_docs:
+                        docs_of = part.take(pa.array(at_docs, pa.int64()))
+                        cols = matched([texts[k] for k in at_docs], automata)
+                        yield pa.RecordBatch.from_arrays([docs_of.column("kept"), *cols, docs_of.column("number")], names=["kept", "n_words", "items", "spans", "number"])
+
+        both = rows.unionByName(dealt).repartition(tasks, "part", "salt").sortWithinPartitions("part", "salt", "kind", "item_id")
+        out = both.mapInArrow(several, f"{schema}, number long")
+        agg = out.groupBy("number").agg(F.first("kept").alias("kept"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+        out = agg.select("kept", "n_words", F.array_sort(F.array_distinct("items")).alias("items"), merged(F.col("spans")).alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select("kept.*", "n_words", n_hit.alias("n_hit"), "items", "spans")
 

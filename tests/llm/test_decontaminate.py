@@ -52,6 +52,16 @@ def test_spans(spark, make, max_words):
     assert d.spans(make([(1, "a")]).filter("doc_id = 2"), bench).count() == 0
 
 
+def test_repeated_items_count_once_however_many_automata(spark, make):
+    item = "the quick brown fox jumps over the lazy dog and then sleeps"
+    bench = spark.createDataFrame([("x", item), ("x", f"{item} again"), ("y", "some other words"), ("y", "words of it")], "item_id string, text string")
+    rows = make([(1, f"a {item} again b some other words of it"), (2, "none")])
+    for max_words in (d.MAX_WORDS, 12, 1):
+        got = {r["doc_id"]: r for r in d.spans(rows, bench, max_words=max_words, keep=("doc_id", "label")).collect()}
+        assert got[1]["items"] == ["x", "y"] and got[1]["n_hit"] == 18 and got[1]["row"]["label"] == "x"
+        assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [(1, 14), (15, 20)] and got[2]["n_hit"] == 0
+
+
 def test_clean():
     text = "keep this " + "one two three four five six seven eight nine ten" + ", and this too " + "more words " * 10
     assert d.clean(text, [(2, 12)]).startswith("keep this , and this too")

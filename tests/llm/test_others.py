@@ -32,31 +32,44 @@ TEXTS = [
 ]
 
 
+def scanned(spark, docs):
+    return secrets.join_back(docs, secrets.scan(secrets.unseen(secrets.address(docs), None)))
+
+
 def test_base_spans(spark, make):
     docs = make([*enumerate(TEXTS), (None, TEXTS[0]), (0, TEXTS[0])])
-    _, found = secrets.advance(docs, None, None)
-    out = secrets.join_back(docs, found).collect()
+    out = scanned(spark, docs).collect()
     assert len(out) == len(TEXTS) + 2
     for r in out:
         text = TEXTS[r["doc_id"] or 0] or ""
         assert r["base_sha256"] == hashlib.sha256(spans(text).encode()).hexdigest(), text
     assert any("pem:" in r["spans"] for r in out)
-
-
-def test_ledger_scans_only_what_is_new(spark, make):
-    first, second = make([(1, TEXTS[0]), (2, "plain")]), make([(3, TEXTS[0]), (4, TEXTS[4])])
-    ledger, found = secrets.advance(first, None, None)
-    fresh = secrets.unseen(secrets.address(second), ledger)
-    assert [r["text"] for r in fresh.collect()] == [TEXTS[4]]
-    ledger, found = secrets.advance(second, ledger, found)
-    assert {r["doc_id"]: r["n_assign"] for r in secrets.join_back(second, found).collect()} == {3: 1, 4: 0}
-    old = ledger.withColumn("rules_version", secrets.F.lit("0"))
+    assert scanned(spark, docs.filter("doc_id = 77")).count() == 0
+
+
+def test_very_many_secrets_in_one_text(spark, make):
+    text = " ".join(f"token=abcdefghijkl{k}" for k in range(30_000))
+    row = scanned(spark, make([(1, text)])).first()
+    assert row["n_assign"] == 30_000 and row["base_sha256"] == hashlib.sha256(spans(text).encode()).hexdigest()
+
+
+def test_ledger_scans_only_what_is_new(spark, make, tmp_path):
+    first, second = make([(1, TEXTS[0]), (2, "plain")]), make([(3, TEXTS[0]), (4, TEXTS[4]), (5, TEXTS[4])])
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.update(first)
+    assert [r["text"] for r in secrets.unseen(secrets.address(second), ledger.pairs()).collect()] == [TEXTS[4]]
+    ledger.update(second)
+    assert secrets.unseen(secrets.address(second.union(first)), ledger.pairs()).count() == 0
+    n = ledger.findings().count()
+    ledger.update(second)  # nothing is new
+    assert ledger.pairs().count() == 3 and ledger.findings().count() == n == 2
+    assert {r["doc_id"]: (r["n_assign"], r["n_hex"]) for r in secrets.join_back(second, ledger.findings()).collect()} == {3: (1, 0), 4: (0, 1), 5: (0, 1)}
+    old = ledger.pairs().withColumn("rules_version", secrets.F.lit("0"))
     assert secrets.unseen(secrets.address(second), old).count() == 2
 
 
 def test_native_plan(spark, make):
-    docs = make([(1, "x")])
-    plan = secrets.join_back(docs, secrets.advance(docs, None, None)[1])._jdf.queryExecution().toString()
+    plan = scanned(spark, make([(1, "x")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
