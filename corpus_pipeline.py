@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing, in this order."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing, in this order.
+
+Every stage takes nulls in any column, repeated rows, an empty table and further columns of any name; all columns of the
+input come through, and what the operators add never takes the name of one of them.
+"""
 
 from __future__ import annotations
 
@@ -9,23 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontaminate, langid, linededup, mixing, neardup
-from geoloom.llm.common import Workspace, id_remainder, table
+from geoloom.llm.common import Workspace, clear_of, id_remainder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier doesn't reject: those far from all it knows go."""
+    """Documents whose language the classifier doesn't reject: those far from all it knows go, null and empty texts too."""
     p = langid.Params()
     model = langid.fit(docs.filter(id_remainder("doc_id", 4) != 2), p)
-    return langid.classify(docs, model, p, docs.columns).filter(~F.col("rejected")).select(*docs.columns)
+    rejected = clear_of(docs.columns, "rejected")
+    return langid.classify(docs, model, p, docs.columns).filter(~F.col(rejected)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line runs that repeat earlier ones; a document that is wholly such runs goes."""
     found = linededup.dedup_lines(docs, Workspace(spark, "pipeline-lines"))
-    kept = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    n_lines, n_removed = (F.col(clear_of(docs.columns, c)) for c in ("n_lines", "n_removed"))
+    kept = found.filter((n_removed == 0) | (n_removed < n_lines))
+    size = F.when(n_removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", size).select(*docs.columns)
 
 
@@ -38,25 +44,26 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without what they share with the benchmark; those that are mostly that go."""
     cols = docs.columns
     at = cols.index("text")
-    found = decontaminate.spans(docs.withColumn("doc_id", F.col("doc_id").cast("long")), table(spark, sf_dir, "benchmark"), keep=tuple(c for c in cols if c != "doc_id"))
+    found = decontaminate.spans(docs, table(spark, sf_dir, "benchmark"), keep=tuple(cols))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = part.column("text").to_pylist()
+                own = part.column("row").flatten()
+                texts = own[at].to_pylist()
                 gone, changed = [False] * len(texts), [False] * len(texts)
                 for k, spans in enumerate(part.column("spans").to_pylist()):
                     if spans:
                         texts[k] = decontaminate.clean(texts[k], [(s["start"], s["end"]) for s in spans], min_span=1)
                         gone[k], changed[k] = not texts[k], True
-                arrays = [pa.array(texts, pa.string()) if k == at else part.column(c) for k, c in enumerate(cols)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone), pa.array(changed)], names=[*cols, "gone", "changed"])
+                row = pa.StructArray.from_arrays([pa.array(texts, pa.string()) if k == at else own[k] for k in range(len(cols))], names=cols)
+                yield pa.RecordBatch.from_arrays([row, pa.array(gone), pa.array(changed)], names=["row", "gone", "changed"])
 
-    out_type = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in docs.schema) + ", gone boolean, changed boolean"
-    done = found.select(*cols, "spans").mapInArrow(cut, out_type).filter(~F.col("gone"))
-    size = F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", size).select(*cols)
+    out_type = f"row {found.schema['row'].dataType.simpleString()}, gone boolean, changed boolean"
+    done = found.select("row", "spans").mapInArrow(cut, out_type).filter(~F.col("gone"))
+    size = F.when(F.col("changed"), F.length("row.text").cast("long")).otherwise(F.col("row.n_chars"))
+    return done.select(*[size.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in cols])
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
