@@ -9,19 +9,21 @@ k-mer sequences decides: aligned k-mers / (all k-mers of both - aligned) must be
 Equal texts are one node (by SHA-256). Classes are the connected components of the verified links.
 
 In each bucket (texts with an equal band) every text is first held against one leader: the text with most company over
-all its bands, so that the copies of one original meet in it. A text that is similar to no leader is then held against
-every other text of its buckets of up to eight, and against a text drawn from each larger one. Last, where classes meet
-in a bucket, all pairs of different classes are aligned in buckets of up to eight; in larger ones first all texts against
-a text of the first and of the last class, then, where classes still meet, all pairs of different classes, in blocks.
-Two texts at a similarity of 0.8 share ten of the 24 bands on average, and a link that one bucket holds is never lost.
+all its bands, so that the copies of one original meet in it. Then, in every bucket that holds several classes, all pairs
+of texts of different classes are decided, in blocks: two texts are aligned if their common labelled k-mers allow the
+similarity, and classes that a link joins aren't held against each other again. So no link that a bucket holds is lost;
+two texts at a similarity of 0.8 share ten of the 24 bands on average.
 
 Defined results: null is the empty text; texts without words are duplicates only of equal texts; a text of less than
 five words is a single k-mer; rows without an id or with repeated ids are rows of their own; class_id is the least
-doc_id of a class (null if none has one); an empty table gives an empty result; other columns are ignored.
+doc_id of a class (null if none has one); long texts are hashed in pieces and aligned whole; an empty table gives an empty
+result; other columns are ignored, or kept whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 K = 5
@@ -76,17 +78,24 @@ class Sketcher:
         return mix(h)
 
     @staticmethod
-    def bands(kmers: np.ndarray) -> np.ndarray:
-        """A key for every band (none without k-mers)."""
+    def labelled(kmers: np.ndarray) -> np.ndarray:
+        """A hash of each k-mer with its occurrence number: all different in a text."""
         n = len(kmers)
-        if not n:
-            return np.zeros(0, np.uint64)
         order = np.argsort(kmers, kind="stable")
         ranked = kmers[order]
-        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        first = np.concatenate([[True], ranked[1:] != ranked[:-1]])[:n]
         start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         label = np.empty(n, np.uint64)
         label[order] = mix(ranked + (np.arange(n) - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return label
+
+    @staticmethod
+    def bands(kmers: np.ndarray) -> np.ndarray:
+        """A key for every band (none without k-mers)."""
+        n = len(kmers)
+        if not n:
+            return np.zeros(0, np.uint64)
+        label = Sketcher.labelled(kmers)
         pick = min(PICK, n)
         out = []
         step = max(1, (1 << 18) // n)
@@ -101,6 +110,37 @@ class Sketcher:
         return np.concatenate(out)
 
 
+def common_kmers(labels: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers every two texts have in common: a matrix over at most a few hundred texts.
+
+    k-mers of many texts are counted by products of 0/1 matrices, the others by their pairs, in pieces.
+    """
+    n = len(labels)
+    out = np.zeros((n, n), np.float32)
+    row = np.repeat(np.arange(n), [len(x) for x in labels])
+    _, code, count = np.unique(np.concatenate(labels), return_inverse=True, return_counts=True)
+    few = max(4, n // 32)
+    for dense in (True, False):
+        wanted = (count > few) if dense else (count > 1) & (count <= few)
+        own = np.flatnonzero(wanted[code])
+        own = own[np.argsort(code[own], kind="stable")]
+        if dense:
+            place = (np.cumsum(wanted) - 1)[code[own]]
+            for at in range(0, int(wanted.sum()), 2048):
+                a, b = np.searchsorted(place, [at, at + 2048])
+                x = np.zeros((n, 2048), np.float32)
+                x[row[own[a:b]], place[a:b] - at] = 1
+                out += x @ x.T
+        else:
+            times = count[code[own]]
+            for c in np.unique(times).tolist():
+                rows = row[own[times == c]].reshape(-1, c)
+                for at in range(0, len(rows), max(1, (1 << 21) // (c * c))):
+                    r = rows[at : at + max(1, (1 << 21) // (c * c))]
+                    out += np.bincount((r[:, :, None] * n + r[:, None, :]).ravel(), minlength=n * n).reshape(n, n)
+    return out
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity of two k-mer sequences: aligned / (len(a) + len(b) - aligned), or 0.0 if it can't reach `least`.
 
@@ -134,27 +174,44 @@ def _lcs(a: np.ndarray, b: np.ndarray, need: float, skip_a: float, skip_b: float
     """Longest common subsequence that leaves out at most skip_a of a and skip_b of b (as far as that matters)."""
     if not len(a) or not len(b):
         return 0
-    # Every pair of equal k-mers near the diagonal, in order: the longest rising chain of positions (patience sorting).
     order = np.argsort(b, kind="stable")
     ranked = b[order]
     low, high = np.searchsorted(ranked, a, "left"), np.searchsorted(ranked, a, "right")
-    if (high > low).sum() < need:
+    times = high - low
+    if (times > 0).sum() < need:
         return 0
+    if int(times.sum()) > 16 * (len(a) + len(b)):  # k-mers that repeat very often
+        values = np.unique(a[times > 0])
+        if len(values) * len(b) <= 1 << 29:
+            return _lcs_by_bits(a, b, values)
+    # Every pair of equal k-mers in the band, in order: the longest rising chain of positions (patience sorting).
     left, right = int(skip_a) + 1, int(skip_b) + 1  # j - i is within [-left, right]
     tops: list[int] = []
-    from bisect import bisect_left
-
-    for i in np.flatnonzero(high > low).tolist():
+    for i in np.flatnonzero(times > 0).tolist():
         lo, hi = int(low[i]), int(high[i])
-        js = order[lo:hi].tolist()
         if hi - lo > 1:
-            js = [j for j in js if -left <= j - i <= right]
-            js.sort(reverse=True)
+            own = order[lo:hi]  # rising
+            js = own[np.searchsorted(own, i - left) : np.searchsorted(own, i + right, "right")][::-1].tolist()
+        else:
+            j = int(order[lo])
+            js = (j,) if -left <= j - i <= right else ()
         for j in js:
-            if -left <= j - i <= right:
-                at = bisect_left(tops, j)
-                if at == len(tops):
-                    tops.append(j)
-                elif tops[at] > j:
-                    tops[at] = j
+            at = bisect_left(tops, j)
+            if at == len(tops):
+                tops.append(j)
+            elif tops[at] > j:
+                tops[at] = j
     return len(tops)
+
+
+def _lcs_by_bits(a: np.ndarray, b: np.ndarray, values: np.ndarray) -> int:
+    """The same by bit-parallel dynamic programming: a row of the table is the bits of one integer."""
+    masks = {int(v): int.from_bytes(np.packbits(b == v, bitorder="little").tobytes(), "little") for v in values}
+    full = (1 << len(b)) - 1
+    row = full
+    for v in a.tolist():
+        mask = masks.get(v)
+        if mask:
+            up = row & mask
+            row = ((row + up) | (row - up)) & full
+    return len(b) - row.bit_count()

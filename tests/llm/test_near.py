@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pytest
 
 from geoloom.llm import neardup
 from geoloom.llm.common import Workspace
-from geoloom.llm.omh import Sketcher, aligned
+from geoloom.llm.omh import Sketcher, aligned, common_kmers
 
 
 def lcs(a, b):
@@ -32,6 +34,26 @@ def test_alignment_against_dynamic_programme():
         assert abs(got - want) < 1e-9 if want >= 0.8 else got == 0.0
 
 
+def test_alignment_of_repetitive_texts():
+    r = random.Random(2)
+    for n in (300, 2500):
+        a = np.array([r.randrange(3) for _ in range(n)], np.uint64)
+        b = np.delete(a, r.sample(range(n), n // 40))
+        got = aligned(a, b)
+        m = lcs(a.tolist(), b.tolist()) if n < 1000 else len(b)
+        assert abs(got - m / (len(a) + len(b) - m)) < 1e-9
+    began = time.time()
+    words = np.tile(np.arange(7, dtype=np.uint64), 3000)
+    assert aligned(words, np.delete(words, np.arange(0, 15_000, 10))) > 0.9 and time.time() - began < 5
+
+
+def test_common_kmers():
+    r = random.Random(3)
+    labels = [np.array(sorted(r.sample(range(200), r.randint(1, 90))), np.uint64) for _ in range(150)]
+    got = common_kmers(labels)
+    assert all(got[i, j] == len(set(labels[i].tolist()) & set(labels[j].tolist())) for i in range(150) for j in range(150))
+
+
 def test_kmers_do_not_depend_on_pieces(monkeypatch):
     from geoloom.llm import omh
 
@@ -87,13 +109,15 @@ def test_links_between_classes_that_meet_in_a_small_bucket(spark, make):
     assert got == {0}
 
 
-def test_family_without_its_original_against_all_pairs(spark, make):
+@pytest.mark.parametrize("block", [256, 16])
+def test_family_without_its_original_against_all_pairs(spark, make, monkeypatch, block):
     """Copies of one text, edited so that many pairs are no links, are classed as by all pairs; most buckets are large."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", block)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     base = [word() for _ in range(200)]
     texts = []
-    for _ in range(150):
+    for _ in range(300):
         w = list(base)
         for k in r.sample(range(200), 3):
             w[k] = word()
