@@ -1,15 +1,22 @@
 """HTML extraction by text-to-tag ratios.
 
 The standard library's parser streams events; block elements cut the page into lines. Each line has a ratio of text
-characters to tags; the ratios are smoothed by a Gaussian over neighbouring lines and clustered by a threshold (two
-means). The outermost article or main element that holds most of the upper cluster is the content region, or else the
-lowest common ancestor of all its lines, with headings and paragraphs beside it; all lines of the region are kept, short
-ones too, and so is every line of the upper cluster. Elements that are not content by their meaning (menus, scripts, forms,
-comments, adverts and so on) have ratio 0 and are left out wherever they are.
+characters (those of links don't count) to tags; the ratios are smoothed by a Gaussian over neighbouring lines and
+clustered by a threshold (two means). The outermost article or main element that holds most of the upper cluster is the
+content region, or else the lowest common ancestor of all its lines, with headings and paragraphs beside it.
+
+Of the region's lines the clusters decide, too. Lines of the upper cluster stay. A line of the lower cluster goes if it is
+mostly links and not in an article (a menu), or, where
+no article or main element bounds the region, if it stands before or after all headings, paragraphs and lines of the upper
+cluster. Copyright lines outside articles, after the last line whose own ratio is above the threshold, go, too. All others stay, however short. Elements that are not content by their meaning (menus, scripts,
+forms, comments, adverts and so on) have ratio 0 and are left out wherever they are; so are elements that a class or id
+names as such, if the name says nothing else ("comment-list", but not "share-price"). A name doesn't count on an element
+that holds all article and main elements of the page.
 
 Defined results: a null or empty page, and one without content, gives the empty text; broken markup is read as the
 parser reads it (an element that isn't closed ends with its parent; what stands after a `<` that opens nothing is text);
-repeated pages are rows of their own; null ids and urls are kept; other columns are ignored.
+repeated pages are rows of their own; null ids and urls are kept; pages of any length are read whole; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +41,19 @@ OUTSIDE = frozenset(
     "head script style noscript template iframe object svg math canvas audio video nav footer aside form button select textarea input dialog menu title".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words of class and id names that mark what is not the article; a name counts by its parts.
+#: Words of class and id names that mark what is not the article.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus disclaimer footer "
     "gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall popup privacy promo promoted "
     "promotion related replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that may stand before and after these without saying anything else.
+BEFORE = frozenset("site page main top bottom left right primary secondary global post entry article the my js wp user reader sticky fixed mobile desktop email web full small large popular latest".split())
+AFTER = frozenset(
+    "area articles aside bar block body bottom box button buttons btn card center column container content count dialog entries field form frame group heading icon icons inner input "
+    "item items label layer left line link links list main media message module network networks outer overlay panel policy post posts region right row section slot stories strip "
+    "text thread title tools top unit wrap wrapper zone".split()
+)
 REGION = frozenset("html body".split())
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure".split())
 PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
@@ -47,48 +61,62 @@ PART = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 #: Conditions of old browsers, which the parser takes for text.
 CONDITION = re.compile(r"<!\[(?:if|endif)[^>]*>", re.I)
+COPYRIGHT = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
 SIGMA = 1.0
 
 
-def _outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool, by_name: bool) -> bool:
+def _names_other(name: str) -> bool:
+    """Whether a class or id names something other than the article, and nothing else."""
+    parts = [part.lower() for part in PART.findall(name)]
+    at = [k for k, part in enumerate(parts) if part in NAMES]
+    return bool(at) and all(part in NAMES or (part in BEFORE and k < at[-1]) or (part in AFTER and k > at[0]) for k, part in enumerate(parts))
+
+
+def _outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """0: no; 1: by meaning; 2: by its name."""
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
-    if tag in REGION or tag in ("article", "main") or not by_name:
-        return False
+        return 1
+    if tag in REGION or tag in ("article", "main") and not any(k == "class" and v and any(map(_names_other, v.split())) for k, v in attrs):
+        return 0
+    named = False
     for key, value in attrs:
         if not value and key not in ("hidden",):
             continue
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.lower() in ROLES):
-            return True
-        if key in ("class", "id") and any(part.lower() in NAMES for name in value.split() for part in PART.findall(name)):
-            return True
+            return 1
         if key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return 1
+        named |= key in ("class", "id") and any(_names_other(name) and not (in_article and name.lower() == "header") for name in value.split())
+    return 2 if named else 0
 
 
 class Events(HTMLParser):
-    """Lines of a page: text, number of tags, the path of open elements, whether they are outside."""
+    """Lines of a page: text, number of tags, the path of open elements, whether they are outside, characters in links.
+
+    Elements whose number is in `plain` aren't outside by their name.
+    """
 
-    def __init__(self, by_name: bool = True) -> None:
+    def __init__(self, plain: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.by_name, self.skipped, self.dropped = by_name, False, 0
-        self.open: list[tuple[str, int, bool]] = []  # name, number of the element, outside
+        self.plain, self.skipped = plain, False
+        self.open: list[tuple[str, int, int]] = []  # name, number of the element, number of the element that is outside (0: none)
         self.n = 0
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.tags = self.linked = self.links = 0
+        self.lines: list[tuple[str, int, tuple[int, ...], bool, int]] = []
         self.kinds: dict[int, str] = {}
         self.articles = 0
+        self.named: dict[int, int] = {}  # elements outside by their name: article and main elements in them
+        self.all_articles = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple(x[1] for x in self.open), False))
+            self.lines.append((text, self.tags, tuple(x[1] for x in self.open), False, self.linked))
         elif self.skipped:
-            self.lines.append(("", self.tags, (), True))
+            self.lines.append(("", self.tags, (), True, 0))
         self.text.clear()
-        self.tags, self.skipped = 0, False
+        self.tags, self.skipped, self.linked = 0, False, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -108,12 +136,23 @@ class Events(HTMLParser):
                     break
         self.n += 1
         self.kinds[self.n] = tag
-        up = bool(self.open) and self.open[-1][2]
-        self.open.append((tag, self.n, up or _outside(tag, attrs, self.articles > 0, self.by_name)))
+        up = self.open[-1][2] if self.open else 0
+        why = 0 if up else _outside(tag, attrs, self.articles > 0)
+        if why == 2 and self.n in self.plain:
+            why = 0
+        elif why == 2:
+            self.named[self.n] = 0
+        if tag in ("article", "main"):
+            self.all_articles += 1
+            if up in self.named or why == 2:
+                self.named[up or self.n] += 1
+        self.open.append((tag, self.n, up or (self.n if why else 0)))
         self.articles += tag in ("article", "main")
+        self.links += tag == "a"
 
     def _close(self, k: int) -> None:
         self.articles -= sum(x[0] in ("article", "main") for x in self.open[k:])
+        self.links -= sum(x[0] == "a" for x in self.open[k:])
         del self.open[k:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -141,9 +180,10 @@ class Events(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][2]:
             self.skipped = True
-            self.dropped += len(data) * (self.open[-1][0] not in ("script", "style"))
         else:
             self.text.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def _smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -168,28 +208,33 @@ def _threshold(x: np.ndarray) -> float:
     return t
 
 
-def _read(html: str, by_name: bool) -> Events:
-    events = Events(by_name)
-    events.feed(CONDITION.sub(" ", html))
-    events.close()
-    events.flush()
-    return events
+def _read(html: str) -> Events:
+    """The events, read again where a name would hide all articles of the page."""
+    plain: frozenset[int] = frozenset()
+    while True:
+        events = Events(plain)
+        events.feed(CONDITION.sub(" ", html))
+        events.close()
+        events.flush()
+        layout = {e for e, n in events.named.items() if n and n == events.all_articles and events.kinds[e] not in ("article", "main")}
+        if not layout:
+            return events
+        plain |= layout
 
 
 def extract(html: str | None) -> str:
     if not html:
         return ""
-    events = _read(html, True)
-    if sum(len(x[0]) for x in events.lines) * 5 < min(events.dropped, 700):  # a name has hidden the whole page
-        events = _read(html, False)
+    events = _read(html)
     lines = events.lines
     inside = [k for k, x in enumerate(lines) if not x[3]]
     if not inside:
         return ""
-    ratio = np.array([0.0 if out else len(text) / max(tags, 1) for text, tags, _, out in lines])
+    linked = [min(1.0, x[4] / max(len(x[0]), 1)) for x in lines]
+    ratio = np.array([0.0 if x[3] else len(x[0]) * (1 - linked[k]) / max(x[1], 1) for k, x in enumerate(lines)])
     smooth = _smooth(ratio)
     t = _threshold(smooth)
-    content = [k for k in inside if smooth[k] >= t and ratio[k] > 0] or inside
+    content = [k for k in inside if smooth[k] >= t and ratio[k] > 0 and linked[k] <= 0.5] or inside
     votes: dict[int, int] = {}
     total = 0
     for k in content:
@@ -215,8 +260,16 @@ def extract(html: str | None) -> str:
                 region = e
             else:
                 break
-    chosen = set(content)
-    return "\n\n".join(lines[k][0] for k in inside if not region or region in lines[k][2] or k in chosen)
+    chosen, own = set(content), [k for k in inside if not region or region in lines[k][2]]
+    path = {k: {kind[e] for e in lines[k][2]} for k in own}
+    menu = {k for k in own if linked[k] > 0.5 and "article" not in path[k] and not PROSE & path[k]}
+    last = max((k for k in content if ratio[k] >= t), default=content[-1])
+    legal = {k for k in own if k > last and COPYRIGHT.search(lines[k][0]) and not path[k] & {"article", "main"}}
+    # Without an element that bounds the article, it goes from its first to its last heading, paragraph or line of the cluster.
+    body = [k for k in own if k not in legal and (k in chosen or PROSE & path[k])]
+    low, high = (own[0], own[-1]) if named or not body else (body[0], body[-1])
+    keep = chosen.union(k for k in own if low <= k <= high and k not in menu) - legal
+    return "\n\n".join(lines[k][0] for k in sorted(keep))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,39 @@ def test_odd_pages(page, text):
     assert html.extract(page) == text
 
 
+PROSE_LINES = ["The first paragraph of the page says a good deal about what it is for, and goes on for a while.", "The second one adds to it, with more words than the menu has, until it comes to its end."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<ul><li>Home</li><li>News</li><li>Contact</li></ul>{p}<div>Copyright 2024 Somebody</div>",
+        "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>{p}<p>&copy; 2024 Somebody. All rights reserved.</p>",
+        "<table><tr><td><a href=a>One</a></td><td><a href=b>Two</a></td></tr></table><div>{p}</div><div><a href=c>Next</a> | <a href=d>Back</a></div>",
+        "<div class='sidebar-right'><main>{p}</main></div><div class='sidebar'>Elsewhere</div>",
+        "<div class='page-header'>Site</div><div class='text'>{p}</div><section class='reader-comments'><p>" + "I have an opinion on that and say it at length. " * 9 + "</p></section>",
+        "<div class='post'>{p}</div><ul class='comment-list'>" + "<li class=comment><article class='comment-body'><p>A reader wrote all of this here, and more.</p></article></li>" * 9 + "</ul>",
+    ],
+)
+def test_pages_without_helpful_elements(page):
+    """Pages labelled by hand: only the paragraphs are the text."""
+    body = "".join(f"<p>{x}</p>" for x in PROSE_LINES)
+    assert html.extract(f"<html><body>{page.format(p=body)}</body></html>").split("\n\n") == PROSE_LINES
+
+
+def test_comments_never_stand_for_a_short_article():
+    comments = "<div class=comments>" + "<p>I read this and I want to say something about it.</p>" * 9 + "</div>"
+    assert html.extract(f"<body><article><p>One short sentence.</p></article>{comments}</body>") == "One short sentence."
+    text = "A main text of ninety characters or so, which is much less than all the comments on it have."
+    assert html.extract(f"<body><main><p>{text}</p></main>{comments}</body>") == text
+    assert html.extract(f"<body>{comments}</body>") == ""
+
+
+def test_names_that_say_something_else():
+    page = "<article><p class='share-price'>The share price rose.</p><div class='search-results'><p>We searched and found three of them.</p></div><div class='share-buttons'>Tell</div><div class=header><h2>Head</h2></div></article>"
+    assert html.extract(page).split("\n\n") == ["The share price rose.", "We searched and found three of them.", "Head"]
+
+
 def test_several_content_containers():
     long = "".join(f"<p>{'the long text of this page goes on ' * 8}</p>" for _ in range(8))
     intro = "intro words of it " * 3
