@@ -214,9 +214,38 @@ def test_targets():
 
 def test_split_tree_is_exact():
     counts = [17, 0, 5, 40]
-    tree = mixing.split_tree(counts, 7, 1)
+    tree = np.zeros((7, 4), int)
+    for k, shard, c in mixing.split_tree(counts, 7, 1):
+        tree[shard, k] = c
     assert tree.sum(0).tolist() == counts and tree.sum(1).max() - tree.sum(1).min() <= 1 and (tree >= 0).all()
-    assert np.array_equal(tree, mixing.split_tree(counts, 7, 1)) and not np.array_equal(tree, mixing.split_tree(counts, 7, 2))
+    assert mixing.split_tree(counts, 7, 1) == mixing.split_tree(counts, 7, 1) != mixing.split_tree(counts, 7, 2)
+    assert mixing.split_tree([], 3, 1) == mixing.split_tree([0, 0], 3, 1) == []
+
+
+def reference_mix(units, p):
+    """Words taken of each unit, by plain Python: units are (source, h, doc_id, size, copies)."""
+    names = sorted({u[0] for u in units}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(u[3] * u[4] for u in units if u[0] == s) for s in names]
+    rows = [sum(u[4] for u in units if u[0] == s) for s in names]
+    goal = mixing.targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(names))])
+    words = max(p.block_words, (sum(sizes) + sum(rows)) // p.max_blocks + 1)
+    taken = {}
+    for s, n, m, t in zip(names, sizes, rows, goal, strict=True):
+        passes, rest = divmod(round(t), n) if n else (0, 0)
+        blocks = max(1, -(-(n + m) // words))
+        own = sorted((u for u in units if u[0] == s), key=lambda u: (block_of(u[1], blocks), u[1], u[2], u[3]))
+        for u in own:
+            part = max(0, min(u[3] * u[4], rest))
+            rest -= part
+            taken[u[0], u[1], u[2]] = passes * u[3] + part // u[4]
+    return taken
+
+
+BLOCKS: dict[int, int] = {}
+
+
+def block_of(h, blocks):
+    return BLOCKS[h] % blocks
 
 
 def test_mix(spark, make):
@@ -224,14 +253,52 @@ def test_mix(spark, make):
     docs = make(rows)
     p = mixing.Params(block_words=50, shard_words=100)
     drawn, sources = mixing.plan(docs, p, Workspace(spark, "t"))
-    out = mixing.shards(drawn, sources, p).collect()
+    out = drawn.withColumn("hh", mixing.F.xxhash64("h")).collect()
     assert len(out) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     for s in sources:
         own = [r for r in out if r["source"] == s["source"]]
         assert sum(r["size"] for r in own) == s["source_size"] and abs(sum(r["taken"] for r in own) - s["target"]) <= 1
+    BLOCKS.update({r["h"]: r["hh"] for r in out})
+    want = reference_mix([(r["source"], r["h"], r["doc_id"] if r["doc_id"] is not None else -1, r["size"], 1) for r in out], p)
+    assert all(r["taken"] == want[r["source"], r["h"], r["doc_id"] if r["doc_id"] is not None else -1] for r in out)
     again, _ = mixing.plan(docs.repartition(7), p, Workspace(spark, "t"))
-    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["taken"])
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["taken"], r["shards"])
     assert sorted(map(key, again.collect())) == sorted(map(key, out))
     assert mixing.plan(docs.filter("doc_id = 5000"), p, Workspace(spark, "t"))[0].count() == 0
+    docs = docs.withColumn("taken", mixing.F.lit("own")).withColumn("h", mixing.F.lit(1))
     mixed = mixing.mix(docs, p, Workspace(spark, "t"))
-    assert mixed.columns[:6] == docs.columns and mixed.agg({"taken": "sum"}).first()[0] == sum(r["taken"] for r in out)
+    assert mixed.columns[:8] == docs.columns and mixed.agg({"_taken": "sum"}).first()[0] == sum(r["taken"] for r in out)
+    assert {r["taken"] for r in mixed.collect()} == {"own"}
+
+
+def test_shards_hold_every_source(spark):
+    """Dozens of shards: each document is drawn once a pass, and each shard has about its share of every source."""
+    rows = [(k, " ".join(["w"] * (20 + k % 11)), f"s{k % 4 if k % 3 else 0}") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = mixing.Params(block_words=60, shard_words=5000)
+    out = mixing.plan(docs, p, Workspace(spark, "t"))[0].collect()
+    for r in out:
+        assert len(r["shards"]) == -(-r["taken"] // r["size"]), r
+    n = 1 + max(x for r in out for x in r["shards"])
+    assert 30 < n <= -(-int(1.5 * sum(r["size"] for r in out)) // 5000)
+    draws = {s: [0] * n for s in ("s0", "s1", "s2", "s3")}
+    for r in out:
+        for x in r["shards"]:
+            draws[r["source"]][x] += 1
+    for own in draws.values():
+        mean = sum(own) / n
+        assert min(own) > 0 and all(abs(x - mean) < 6 * mean**0.5 + 6 for x in own), own
+
+
+def test_repeated_rows_are_taken_alike(spark):
+    rows = [(k % 7, "one two three four five", "s") for k in range(900)] + [(k, "other words here", "t") for k in range(500)]
+    p = mixing.Params(block_words=100, shard_words=400)
+    runs = []
+    for n in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        mixed = mixing.mix(docs, p, Workspace(spark, "t"))
+        runs.append(sorted((r["source"], r["doc_id"], r["taken"], r["shards"], r["place"]) for r in mixed.collect()))
+    assert runs[0] == runs[1]
+    targets = {r["source"]: r["target"] for r in mixed.collect()}
+    for s, t in targets.items():
+        assert abs(sum(x[2] for x in runs[0] if x[0] == s) - t) < 900 / 7 + 1
