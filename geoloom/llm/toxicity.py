@@ -2,28 +2,33 @@
 
 Terms are a text's lower-cased words and the stems (prefixes of 4 to 6 letters) of longer ones, hashed into buckets. The
 machine scores w0 + sum w_i + sum_{i<j} <v_i, v_j> over the buckets present, so a pair of terms can say what neither
-says alone. Buckets whose presence depends on the label in the fitting rows carry weights; the others say nothing.
+says alone. Buckets carry weights if their presence depends on the label in the fitting rows, or if that of a pair of them
+does beyond what its members say: all pairs of the `pair_terms` most frequent buckets are looked at. The others say
+nothing.
 
-Fitting uses at most `max_rows` labelled rows (a bounded, documented sample by a hash of the id); every row is scored,
-on its whole text.
+Fitting uses at most about `max_rows` labelled rows (a bounded, documented sample by a hash of the id), of which only the
+buckets that may carry weights come to the driver; every row is scored, on its whole text.
 
 Defined results: null and empty texts have no terms and get the score of an empty term set; null labels and labels of
-unknown documents are ignored; repeated rows are scored alike; without fitting rows of both labels every score is the
-share of label 1 (0.0 without any); other columns of the inputs are ignored.
+unknown documents are ignored, and an id with several labels counts as toxic if one says so; of several texts with one id
+the least in order is fitted on; repeated rows are scored alike; without fitting rows of both labels every score is the
+share of label 1 (0.0 without any); texts of any length are scored whole; an empty table gives an empty result; other
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_slices, id_remainder, table
+from .common import Workspace, by_slices, id_remainder, table
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6)
@@ -37,6 +42,12 @@ class Params:
     min_rows: int = 4
     min_z: float = 4.0
     max_terms: int = 2048
+    #: Pairs: of so many most frequent buckets, together in this many fitting rows, and as many deviations from what its
+    #: members say; the strongest ones' buckets carry weights, too.
+    pair_terms: int = 2048
+    pair_rows: int = 8
+    pair_z: float = 6.0
+    max_pairs: int = 256
     factors: int = 6
     epochs: int = 200
     rate: float = 0.05
@@ -75,16 +86,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, p: Params) -> Machine:
         return none
     every = np.bincount(np.concatenate(rows), minlength=p.buckets)
     pos = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y] or [np.zeros(0, np.int64)]), minlength=p.buckets)
-    z = (pos - every * share) / np.sqrt(np.maximum(every * share * (1 - share), 1e-9))
+    z = strength(every, pos, n, n_pos)
     chosen = np.flatnonzero((every >= p.min_rows) & (np.abs(z) >= p.min_z))
+    chosen = chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[: p.max_terms]]
+    often = np.flatnonzero((every >= p.pair_rows) & (every < n))
+    often = np.sort(often[np.argsort(-every[often], kind="stable")[: p.pair_terms]])
+    chosen = np.union1d(chosen, often[paired(presence(rows, often), labels, p)])
     if not len(chosen):
         return none
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[: p.max_terms]])
-    x = np.zeros((n, len(chosen)), np.float32)
-    for k, r in enumerate(rows):
-        at = np.searchsorted(chosen, r)
-        at = at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == r)]
-        x[k, at] = 1
+    x = presence(rows, chosen)
     rng = np.random.default_rng(p.seed)
     w0, w, v = prior, np.zeros(len(chosen), np.float32), rng.normal(0, 0.01, (len(chosen), p.factors)).astype(np.float32)
     y = labels.astype(np.float32)
@@ -104,9 +114,49 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, p: Params) -> Machine:
     return Machine(chosen, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets and labels of at most p.max_rows labelled rows, by a hash of the id."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
+def strength(every, pos, n: int, n_pos: int):  # noqa: ANN001, ANN201
+    """Deviations from chance of the positive rows among those that have a bucket (arrays or columns)."""
+    share = n_pos / n
+    spread = every * share * (1 - share)
+    return (pos - every * share) / (F.sqrt(spread) if isinstance(spread, Column) else np.sqrt(np.maximum(spread, 1e-9)))
+
+
+def presence(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    if len(chosen):
+        for k, r in enumerate(rows):
+            at = np.searchsorted(chosen, r)
+            x[k, at[(at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == r)]] = 1
+    return x
+
+
+def paired(x: np.ndarray, labels: np.ndarray, p: Params) -> np.ndarray:
+    """Columns of x in the strongest pairs: the share of positive rows among those with both is held against what the shares
+    of those with either say when their logits are added. Pairs that nearly always go together (stems of a word) say nothing."""
+    n, m = x.shape
+    share = float(labels.mean())
+    every, pos = x.sum(0), x[labels == 1].sum(0)
+    logit = np.log((pos + share) / (every - pos + 1 - share))
+    base = float(np.log(share / (1 - share)))
+    positive = np.ascontiguousarray(x[labels == 1])
+    found: list[tuple[float, int, int]] = []
+    for at in range(0, m, 256):
+        own = slice(at, min(at + 256, m))
+        both, both_pos = x[:, own].T @ x, positive[:, own].T @ positive
+        said = 1 / (1 + np.exp(-np.clip(logit[own, None] + logit[None, :] - base, -30, 30)))
+        z = np.abs(both_pos - both * said) / np.sqrt(both * said * (1 - said) + 0.5)
+        z[(both < p.pair_rows) | (both > 0.9 * np.minimum(every[own, None], every[None, :]))] = 0
+        i, j = np.nonzero(z >= p.pair_z)
+        keep = i + at < j
+        found += zip((-z[i[keep], j[keep]]).tolist(), (i[keep] + at).tolist(), j[keep].tolist(), strict=True)
+        found = sorted(found)[: p.max_pairs]
+    return np.unique(np.array([k for _, i, j in found for k in (i, j)], np.int64))
+
+
+def labelled_terms(docs: DataFrame, labels: DataFrame, p: Params, space: Workspace) -> tuple[list[np.ndarray], np.ndarray]:
+    """Labels of at most about p.max_rows labelled rows, by a hash of the id, and those of their buckets that may carry
+    weights: no more than max_terms + pair_terms, so what comes to the driver is bounded."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if not n:
         return [], np.zeros(0, np.int64)
@@ -118,11 +168,21 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[
     def featurise(x: dict[str, list]) -> dict[str, list]:
         return {"toxic": x["toxic"], "b": [sorted({bucket(t, size) for t in terms(text)}) for text in x["text"]]}
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    got = rows.mapInArrow(by_slices(featurise, schema), "toxic int, b array<int>").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    made = space.write(rows.mapInArrow(by_slices(featurise, schema), "toxic int, b array<int>"), "terms")
+    n, n_pos = made.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
+        return [], np.zeros(0, np.int64)
+    counts = made.select("toxic", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("every"), F.sum("toxic").alias("pos"))
+    counts = space.write(counts.withColumn("z", F.abs(strength(F.col("every"), F.col("pos"), n, n_pos)) if 0 < n_pos < n else F.lit(0.0)), "counts")
+    strong = counts.filter((F.col("every") >= p.min_rows) & (F.col("z") >= p.min_z * 0.999)).orderBy(F.desc("z"), "b").limit(p.max_terms)
+    often = counts.filter((F.col("every") >= p.pair_rows) & (F.col("every") < n)).orderBy(F.desc("every"), "b").limit(p.pair_terms)
+    wanted = sorted(r["b"] for r in strong.union(often).select("b").distinct().collect())
+    got = made.select("toxic", F.array_intersect("b", F.from_json(F.lit(json.dumps(wanted)), "array<int>")).alias("b")).toArrow()
     lists = got["b"].combine_chunks()
     values, ends = lists.flatten().to_numpy(), np.cumsum([0, *lists.value_lengths().to_numpy()])
-    found = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    found = [np.sort(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     y = got["toxic"].to_numpy().astype(np.int64)
     order = sorted(range(len(found)), key=lambda i: (y[i], found[i].tobytes()))  # the order of arrival says nothing
     return [found[i] for i in order], y[order]
@@ -171,7 +231,7 @@ def score(docs: DataFrame, machine: Machine, p: Params) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Params()
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows, y = labelled_terms(docs, labels.filter(id_remainder("doc_id", 3) != 1), p)
+    rows, y = labelled_terms(docs, labels.filter(id_remainder("doc_id", 3) != 1), p, Workspace(spark, "op1"))
     scored = score(docs, fit(rows, y, p), p)
     return scored.select(
         "doc_id",
