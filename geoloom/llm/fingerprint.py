@@ -3,14 +3,12 @@
 A document is the multiset of its paragraphs (lines). Each paragraph hashes to a wide vector, and a fingerprint is the
 sum of its paragraphs' vectors, lane by lane, modulo a power of two:
 
-* 8 lanes modulo 2**64, from BLAKE2b of the paragraph: these decide equality;
-* 128 lanes modulo 2**16, the sum of +1/-1 signs hashed from the paragraph's word pairs: their inner products estimate
-  how alike two fingerprints are.
+* 32 lanes modulo 2**64, from SHAKE-128 of the paragraph: these decide equality;
+* 128 lanes modulo 2**32, the sum of +1/-1 signs hashed from the paragraph's word pairs: their inner products estimate
+  how alike two fingerprints are. A lane is exact for texts of up to 2**31 words.
 
-near_edited and near_next are taken from the whole sums of the signed lanes, before they are reduced for the fingerprint:
-a long text whose word pairs repeat thousands of times has sums beyond 2**16.
-
-So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
+So the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector: the
+edited text's fingerprint comes from the original one's, less the paragraphs from the first change on, plus those there now.
 
 Defined results: null is the empty text, which has no paragraph and the zero vector; a text that isn't empty has one
 paragraph more than it has line feeds (an empty line is a paragraph); likeness is 1.0 for equal fingerprints, else the
@@ -31,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import parallelism, table
 
-EXACT, SIGNED = 8, 128
+EXACT, SIGNED = 32, 128
 #: Odd multiplier of the rolling byte hash, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -87,7 +85,7 @@ class Hasher:
         exact = np.zeros(EXACT, np.uint64)
         if not paragraphs:
             return exact, np.zeros(SIGNED, np.int64)
-        digest = np.frombuffer(b"".join(hashlib.blake2b(p).digest() for p in paragraphs), "<u8").reshape(-1, EXACT)
+        digest = np.frombuffer(b"".join(hashlib.shake_128(p).digest(8 * EXACT) for p in paragraphs), "<u8").reshape(-1, EXACT)
         exact = digest.sum(0, dtype=np.uint64)
         return exact, self.signs(np.concatenate([self.pairs(p) for p in paragraphs]))
 
@@ -96,32 +94,51 @@ def paragraphs(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def wrap(v: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return v[0], v[1].astype(np.int64).astype(np.uint16).astype(np.int16)
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def wrap(v: Vector) -> Vector:
+    return v[0], v[1].astype(np.int64).astype(np.uint32).astype(np.int32)
 
 
-def show(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<i2").tobytes().hex()
+def show(v: Vector) -> str:
+    return v[0].astype("<u8").tobytes().hex() + v[1].astype("<i4").tobytes().hex()
 
 
-def parse(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+def parse(fingerprint: str) -> Vector:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<i2")
+    return np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<i4").astype(np.int64)
+
+
+def add(a: Vector, b: Vector) -> Vector:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def subtract(a: Vector, b: Vector) -> Vector:
+    return a[0] - b[0], a[1] - b[1]
 
 
 def plus(a: str, b: str) -> str:
     """The fingerprint of both multisets together."""
-    (x, s), (y, t) = parse(a), parse(b)
-    return show((x + y, (s.astype(np.int64) + t).astype(np.uint16).astype(np.int16)))
+    return show(wrap(add(parse(a), parse(b))))
 
 
 def minus(a: str, b: str) -> str:
     """The fingerprint of a after b's paragraphs have been deleted."""
-    (x, s), (y, t) = parse(a), parse(b)
-    return show((x - y, (s.astype(np.int64) - t).astype(np.uint16).astype(np.int16)))
+    return show(wrap(subtract(parse(a), parse(b))))
+
+
+def edit(hasher: Hasher, text: str, own: Vector, edited: str, same: int) -> Vector:
+    """The vector of edited, whose first `same` characters are those of text: by the paragraphs that change, where these are
+    fewer than all."""
+    start = text.rfind("\n", 0, same) + 1
+    if not start or 2 * start < len(text):
+        return hasher.vector(paragraphs(edited))
+    old, new = (hasher.vector(x[start:].encode("utf-8", "surrogatepass").split(b"\n")) for x in (text, edited))
+    return add(subtract(own, old), new)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def likeness(a: Vector, b: Vector) -> float:
     if np.array_equal(a[0], b[0]):
         return 1.0
     s, t = a[1].astype(np.float64), b[1].astype(np.float64)

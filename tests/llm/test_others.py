@@ -85,7 +85,7 @@ def test_fingerprint_is_a_multiset_hash():
     assert show(a) == show("four five six\none two three") != show("one two three\nfour five")
     assert fingerprint.plus(show(a), show(b)) == show(a + "\n" + b)
     assert fingerprint.minus(show(a + "\n" + b), show(b)) == show(a)
-    assert show("") == "00" * (8 * fingerprint.EXACT + 2 * fingerprint.SIGNED) != show("\n")
+    assert show("") == "00" * (8 * fingerprint.EXACT + 4 * fingerprint.SIGNED) != show("\n")
 
 
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
@@ -103,10 +103,25 @@ def test_next_documents(spark):
         t, after = texts[k], texts[(k + 1) % len(texts)]
         n = len(t) // 4
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
-        assert r["fingerprint"] == show(t)
+        assert r["fingerprint"] == show(t) and r["edited_fingerprint"] == show(t[: len(t) - n] + after[:n])
     assert sum(r["near_edited"] > r["near_next"] for r in out) > 0.95 * len(out)
 
 
+def test_edits_by_paragraphs():
+    hasher = fingerprint.Hasher()
+    for text, after in (("a\nb\nc d e f\n", "x\ny"), ("a b c d e f\n\n\n\n\n\n\n", "\n\n"), ("one line only, and no more", "z"), ("a\n" * 50 + "bb", "")):
+        cut = len(text) - len(text) // 4
+        edited = text[:cut] + after[: len(text) // 4]
+        own = hasher.vector(fingerprint.paragraphs(text))
+        assert fingerprint.show(fingerprint.wrap(fingerprint.edit(hasher, text, own, edited, cut))) == show(edited)
+
+
+def test_stored_lanes_of_a_passage_repeated_many_times():
+    passage = " ".join(f"word{k}" for k in range(50)) + "\n"
+    a, b = (fingerprint.parse(show(passage * n)) for n in (20_000, 30_000))
+    assert fingerprint.likeness(a, b) > 0.99 and fingerprint.likeness(a, fingerprint.parse(show("other words here"))) < 0.5
+
+
 def test_next_document_odd_rows(spark, make):
     def rows(pairs):
         import pyarrow as pa
