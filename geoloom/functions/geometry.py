@@ -321,6 +321,24 @@ def point_wkb(x: Column, y: Column, z: Column | None = None) -> Column:
     return F.concat(head, big(x), big(y), *([] if z is None else [big(z)]))
 
 
+def line_wkb(points: list[tuple[Column, Column]]) -> Column:
+    """WKB of a line, built by the JVM."""
+    return F.concat(F.unhex(F.lit(f"0000000002{len(points):08X}")), *[_big(c) for p in points for c in p])
+
+
+def polygon_wkb(ring: list[tuple[Column, Column]]) -> Column:
+    """WKB of a polygon of one closed ring, built by the JVM."""
+    return F.concat(F.unhex(F.lit(f"000000000300000001{len(ring):08X}")), *[_big(c) for p in ring for c in p])
+
+
+def multipoint_wkb(points: list[tuple[Column, Column]]) -> Column:
+    return F.concat(F.unhex(F.lit(f"0000000004{len(points):08X}")), *[point_wkb(x.cast("double"), y.cast("double")) for x, y in points])
+
+
+def _big(c: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(_bits(c.cast("double"))), 16, "0"))
+
+
 def _bits(c: Column) -> Column:
     """IEEE bits of a double, from its parts: sign, exponent and mantissa by exact arithmetic (finite, normal or zero)."""
     a = F.abs(c)

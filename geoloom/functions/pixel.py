@@ -53,12 +53,19 @@ SKIP: dict[str, Callable[..., Column]] = {
     "mean": lambda v: _sum(v) / F.size(v),
     "median": lambda v: _at(F.array_sort(v), 0.5),
     "mode": _mode,
-    "geometric_mean": lambda v: F.pow(F.aggregate(v, F.lit(1.0), lambda acc, x: acc * x), F.lit(1.0) / F.size(v)),
+    "geometric_mean": lambda v: _geometric(v),
     "harmonic_mean": lambda v: F.when(F.exists(v, lambda x: x == 0), 0.0).otherwise(_harmonic(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + ieee_div(F.lit(1.0), x)), F.size(v))),
     "quantile": lambda v, q=0.5: _at(F.array_sort(v), q),
 }
 
 
+def _geometric(v: Column) -> Column:
+    """By logarithms, so that no product overflows; a negative product has no root."""
+    odd = F.size(F.filter(v, lambda x: x < 0)) % 2 == 1
+    size = F.exp(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.log(F.abs(x))) / F.size(v))
+    return F.when(F.exists(v, lambda x: x == 0), 0.0).when(odd, F.lit(NAN)).otherwise(size)
+
+
 def _harmonic(inverse: Column, n: Column) -> Column:
     return F.when(inverse > 0, n / F.when(inverse > 0, inverse)).otherwise(0.0)
 

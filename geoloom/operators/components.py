@@ -29,12 +29,18 @@ def own_dir() -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir); where that is unset, in one of our own."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or own_dir()
-    path = f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
+    """df as a table in the shared folder (see shared_path)."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; on a single machine, where it is unset, in one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or own_dir()).rstrip('/')}/geoloom-{uuid.uuid4().hex}"
 
 
 def _label(values: np.ndarray, valid: np.ndarray, eight: bool) -> np.ndarray:

@@ -24,10 +24,20 @@ def zonal(df: DataFrame, zone: str = "zone", value: str = "v", weight: str | Non
         known |= {f"{k}_center_{a}": (F.min_by if k == "min" else F.max_by)(F.col("col" if a == "x" else "row") + 0.5, F.when(v.isNotNull(), F.struct(v, pos if k == "min" else -pos))) for k in ("min", "max") for a in "xy"}
     if weight:
         w = F.when(v.isNotNull(), F.col(weight))
-        known |= {"weighted_sum": F.sum(v * w), "weighted_mean": F.sum(v * w) / F.sum(w), "weighted_variance": F.sum(w * v * v) / F.sum(w) - F.pow(F.sum(w * v) / F.sum(w), F.lit(2))}
-        known["weighted_stdev"] = F.sqrt(F.greatest(F.lit(0.0), known["weighted_variance"]))
+        known |= {"weighted_sum": F.sum(v * w), "weighted_mean": F.sum(v * w) / F.sum(w)}
+        if {"weighted_variance", "weighted_stdev"}.intersection(stats):  # of the distances from the zone's mean: nothing cancels
+            means = df.groupBy(zone).agg(known["weighted_mean"].alias("__mean"))
+            df = df.join(means, zone)
+            known["weighted_variance"] = F.sum(w * (v - F.col("__mean")) * (v - F.col("__mean"))) / F.sum(w)
+            known["weighted_stdev"] = F.sqrt(known["weighted_variance"])
     plain = [known[s].alias(s) for s in stats if s in known]
     out = df.groupBy(zone).agg(*plain) if plain else df.select(zone).distinct()
+    listed = [s for s in stats if s in ("values", "center_x", "center_y", "weights", "coverage")]
+    if listed:  # lists of all cells of a zone, in order of place: as large as the zone
+        ws = F.col(weight).cast("double") if weight else F.lit(1.0)
+        one = F.struct(pos.alias("pos"), v.alias("values"), (F.col("col") + 0.5).alias("center_x"), (F.col("row") + 0.5).alias("center_y"), ws.alias("weights"), F.lit(1.0).alias("coverage"))
+        cells = df.filter(v.isNotNull()).groupBy(zone).agg(F.array_sort(F.collect_list(one)).alias("cells"))
+        out = out.join(cells.select(zone, *[F.col(f"cells.{s}").alias(s) for s in listed]), zone, "left")
     counted = [s for s in stats if s in ("mode", "minority", "unique", "frac")]
     if counted:
         n = df.filter(v.isNotNull()).groupBy(zone, v.alias("x")).agg(F.count("*").alias("n"))
@@ -48,8 +58,11 @@ def zone_cells(zones: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.
     return zones.select("zone", F.explode(span(r0, r1)).alias("row"), c0.alias("c0"), c1.alias("c1")).select("zone", "row", F.explode(span(F.col("c0"), F.col("c1"))).alias("col"))
 
 
-def polygon_cells(zones: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)) -> DataFrame:
-    """Polygon zones (zone, geom) as cells by scan lines through cell centres: even-odd spans between crossings."""
+def polygon_cells(zones: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), all_touched: bool = False) -> DataFrame:
+    """Polygon zones (zone, geom) as cells by scan lines through cell centres: even-odd spans between crossings.
+
+    all_touched adds the cells that an edge runs through.
+    """
     from geoloom.functions.geometry import geometry_udf
 
     x0, dx, _, y0, _, dy = gt
@@ -67,11 +80,21 @@ def polygon_cells(zones: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0,
             for a, b in zip(xs[::2], xs[1::2], strict=False):
                 c0, c1 = math.ceil(a - 0.5), math.ceil(b - 0.5)
                 if c1 > c0:
-                    out.append({"row": row, "c0": c0, "c1": c1})
-        return out
+                    out.append((row, c0, c1))
+        if all_touched:
+            for x1, y1, x2, y2 in edges:
+                for row in range(math.floor(min(y1, y2)), math.ceil(max(y1, y2))):
+                    ends = [x1, x2] if y1 == y2 else [x1 + (min(max(y, min(y1, y2)), max(y1, y2)) - y1) / (y2 - y1) * (x2 - x1) for y in (row, row + 1)]
+                    a, b = min(ends), max(ends)
+                    c0 = math.floor(a)
+                    c1 = max(c0 + (a != b or a != c0), math.ceil(b))
+                    if c1 > c0:
+                        out.append((row, c0, c1))
+        return [{"row": r, "c0": a, "c1": b} for r, a, b in out]
 
     s = zones.select("zone", F.explode(geometry_udf(spans, "array<struct<row:int,c0:int,c1:int>>")("geom")).alias("s"))
-    return s.select("zone", "s.row", F.explode(F.sequence(F.col("s.c0"), F.col("s.c1") - 1)).alias("col")).filter("col >= 0 and row >= 0")
+    cells = s.select("zone", "s.row", F.explode(F.sequence(F.col("s.c0"), F.col("s.c1") - 1)).alias("col")).filter("col >= 0 and row >= 0")
+    return cells.distinct() if all_touched else cells
 
 
 def pixel_info(points: DataFrame, df: DataFrame, resampling: str = "nearest") -> DataFrame:
@@ -106,9 +129,16 @@ def rasterize_lines(lines: DataFrame, value: Column) -> DataFrame:
     return at.groupBy("row", "col").agg(F.max_by("b", "fid").alias("v"))
 
 
-def rasterize_polygons(zones: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), add: bool = False) -> DataFrame:
+def rasterize_inverse(zones: DataFrame, size: tuple[int, int], value: float, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), all_touched: bool = False) -> DataFrame:
+    """Burns value where no polygon (zone, geom) is, in a raster of size (height, width)."""
+    height, width = size
+    every = zones.sparkSession.range(height * width).select(F.expr(f"cast(id div {width} as int)").alias("row"), F.expr(f"cast(id % {width} as int)").alias("col"))
+    return every.join(polygon_cells(zones.select("zone", "geom"), gt, all_touched), ["row", "col"], "left_anti").withColumn("v", F.lit(float(value)))
+
+
+def rasterize_polygons(zones: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), add: bool = False, all_touched: bool = False) -> DataFrame:
     """Burns polygons (zone: feature number, geom, burn)."""
-    cells = polygon_cells(zones.select("zone", "geom"), gt).join(zones.select("zone", "burn"), "zone")
+    cells = polygon_cells(zones.select("zone", "geom"), gt, all_touched).join(zones.select("zone", "burn"), "zone")
     return cells.groupBy("row", "col").agg((F.sum("burn") if add else F.max_by("burn", "zone")).alias("v"))
 
 
@@ -126,9 +156,11 @@ def as_features(df: DataFrame, bands: int = 1, gt: tuple[float, ...] = (0.0, 1.0
 SIDES = {"n": ("a", "b"), "e": ("b", "c"), "s": ("d", "c"), "w": ("a", "d")}
 
 
-def contour_segments(df: DataFrame, interval: float, base: float = 0.0) -> DataFrame:
+def contour_segments(df: DataFrame, interval: float | None = None, base: float = 0.0, levels: list[float] | None = None, exp_base: float | None = None) -> DataFrame:
     """level, row, col, x1, y1, x2, y2: the contour segments of every square of four cell centres.
 
+    Levels: base and multiples of interval from it; or those given; or the powers of exp_base.
+
     A side is crossed where one end is below the level and the other at or above it; saddles are split by the mean.
     """
     from pyspark.sql import Window
@@ -136,8 +168,15 @@ def contour_segments(df: DataFrame, interval: float, base: float = 0.0) -> DataF
     by_row, by_col = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
     sq = df.select("row", "col", F.col("v").alias("a")).withColumn("b", F.lead("a").over(by_row)).withColumns({"d": F.lead("a").over(by_col), "c": F.lead("b").over(by_col)}).dropna()
     low, high = F.least("a", "b", "c", "d"), F.greatest("a", "b", "c", "d")
-    first, last = F.floor((low - base) / interval) + 1, F.floor((high - base) / interval)
-    lev = sq.filter(last >= first).withColumn("level", F.explode(F.transform(F.sequence(first, last), lambda k: k * interval + base)))
+    if levels is not None:
+        lev = sq.withColumn("level", F.explode(F.filter(F.array(*[F.lit(float(x)) for x in levels]), lambda x: (x > low) & (x <= high))))
+    elif exp_base is not None:
+        log = lambda x: F.log(F.greatest(x, F.lit(1e-300))) / math.log(exp_base)
+        powers = F.transform(F.sequence(F.floor(log(low)).cast("int"), F.ceil(log(high)).cast("int")), lambda k: F.pow(F.lit(float(exp_base)), k))
+        lev = sq.filter(high > 0).withColumn("level", F.explode(F.filter(powers, lambda x: (x > low) & (x <= high))))
+    else:
+        first, last = F.floor((low - base) / interval) + 1, F.floor((high - base) / interval)
+        lev = sq.filter(last >= first).withColumn("level", F.explode(F.transform(F.sequence(first, last), lambda k: k * interval + base)))
     place = {"a": (0.5, 0.5), "b": (1.5, 0.5), "c": (1.5, 1.5), "d": (0.5, 1.5)}
 
     def cross(side: str) -> Column:
@@ -165,26 +204,32 @@ def contour_lines(df: DataFrame, interval: float, base: float = 0.0) -> DataFram
 
     def run(t: pa.Table) -> pa.Table:
         rows = list(zip(*(t[c].to_pylist() for c in ("x1", "y1", "x2", "y2")), strict=True))
-        ends: dict[tuple, set[int]] = {}
-        for k, r in enumerate(rows):
-            for p in (r[:2], r[2:]):
-                ends.setdefault((round(p[0], 9), round(p[1], 9)), set()).add(k)
-        free, lines = set(range(len(rows))), []
-        while free:
-            k = min(free)
-            free.discard(k)
-            line = [list(rows[k][:2]), list(rows[k][2:])]
-            for front in (False, True):
+        rows.sort()
+        at = lambda p: (round(p[0], 9), round(p[1], 9))
+        ends: dict[tuple, list[int]] = {}
+        for k in reversed(range(len(rows))):
+            for p in (rows[k][:2], rows[k][2:]):
+                ends.setdefault(at(p), []).append(k)
+        used, lines = [False] * len(rows), []
+        for k in range(len(rows)):
+            if used[k]:
+                continue
+            used[k] = True
+            halves = []
+            for p in (rows[k][2:], rows[k][:2]):
+                half = [list(p)]
                 while True:
-                    p = line[0] if front else line[-1]
-                    nxt = next((j for j in sorted(ends[(round(p[0], 9), round(p[1], 9))]) if j in free), None)
-                    if nxt is None:
+                    own = ends[at(half[-1])]
+                    while own and used[own[-1]]:
+                        own.pop()
+                    if not own:
                         break
-                    free.discard(nxt)
-                    a, b = list(rows[nxt][:2]), list(rows[nxt][2:])
-                    q = b if max(abs(a[0] - p[0]), abs(a[1] - p[1])) < 1e-9 else a
-                    line.insert(0, q) if front else line.append(q)
-            lines.append(line)
+                    nxt = own.pop()
+                    used[nxt] = True
+                    a, b = rows[nxt][:2], rows[nxt][2:]
+                    half.append(list(b if at(a) == at(half[-1]) else a))
+                halves.append(half)
+            lines.append(halves[1][::-1] + halves[0])
         return pa.table({"level": [t["level"][0].as_py()] * len(lines), "line": pa.array(lines, pa.list_(pa.list_(pa.float64())))})
 
     return contour_segments(df, interval, base).groupBy("level").applyInArrow(run, "level double, line array<array<double>>")

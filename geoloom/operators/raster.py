@@ -150,6 +150,14 @@ def stats(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), (F.count(v) * 100.0 / F.count("*")).alias("valid_percent"))
 
 
+def info(r) -> dict:  # noqa: ANN001
+    """Size, extent and statistics of each band of a raster."""
+    x0, dx, _, y0, _, dy = r.gt
+    xs, ys = sorted((x0, x0 + r.width * dx)), sorted((y0, y0 + r.height * dy))
+    found = stats(r.df, ["band"]).orderBy("band").collect()
+    return {"width": r.width, "height": r.height, "bands": r.bands, "dtype": r.dtype, "crs": r.crs, "nodata": r.nodata, "gt": list(r.gt), "extent": [xs[0], ys[0], xs[1], ys[1]], "statistics": [x.asDict() for x in found]}
+
+
 def histogram(df: DataFrame, low: float, high: float, buckets: int = 256) -> DataFrame:
     place = F.floor((F.col("v") - low) * buckets / (high - low)).cast("int")
     return df.filter("v is not null").groupBy(F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place)).alias("bucket")).agg(F.count("*").alias("n"))

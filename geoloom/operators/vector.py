@@ -86,24 +86,31 @@ def combine(df: DataFrame, keys: list[str], values: dict[str, Column] | None = N
 
 
 def update(target: DataFrame, source: DataFrame, keys: list[str], mode: str = "merge", fields: list[str] | None = None) -> DataFrame:
-    """Upserts source into target. Null keys never match; a key that target holds twice matches nothing.
+    """Upserts source into target. Null keys never match; a key that target holds twice matches nothing. Of source rows with
+    one key, the first in order of all their fields counts.
 
-    mode: merge (update and append), update_only, append_only. Appended rows take new fids after the target's.
+    mode: merge (update and append), update_only, append_only. Appended rows take new fids after the target's, in order of
+    their keys, unless fid is a key.
     """
     fields = fields or [c for c in target.columns if c not in keys and c != "fid" and c in source.columns]
-    twice = target.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").select(*keys)
-    t = target.withColumn("__t", F.lit(True))
-    s = source.select(*keys, *[F.col(f).alias(f"__s_{f}") for f in fields], F.lit(True).alias("__s")).dropDuplicates(keys)
-    usable = s.join(twice, keys, "left_anti").filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    if mode == "append_only":
-        return target.unionByName(source.join(target.select(*keys).distinct(), keys, "left_anti").select(*[c for c in target.columns if c in source.columns]), allowMissingColumns=True)
+    row = F.struct(*[F.col(f) for f in fields], *[F.col(c) for c in source.columns if c not in fields])
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    once = source.filter(known).groupBy(*keys).agg(F.min(row).alias("__s"))
+    held = target.groupBy(*keys).agg(F.count("*").alias("__n"))
+    out = target
+    if mode != "append_only":
+        usable = once.join(held.filter("__n = 1"), keys).select(*keys, "__s")
+        joined = target.join(usable, keys, "left")
+        hit = F.col("__s").isNotNull()
+        out = joined.select(*[F.when(hit, F.col(f"__s.{c}")).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in fields else F.col(c) for c in target.columns])
     if mode == "update_only":
-        joined = t.join(usable, keys, "left")
-    else:
-        joined = t.join(usable, keys, "full_outer")
-    hit = F.col("__s").isNotNull()
-    cols = [F.when(hit, F.col(f"__s_{c}")).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in fields else F.col(c) for c in target.columns]
-    return joined.select(*cols)
+        return out
+    new = once.join(held, keys, "left_anti")
+    new = new.select(*keys, *[F.col(f"__s.{c}").cast(target.schema[c].dataType).alias(c) for c in target.columns if c in fields])
+    if "fid" in target.columns and "fid" not in keys:
+        top = target.agg(F.coalesce(F.max("fid"), F.lit(0))).first()[0]
+        new = renumber(new, *[F.col(k) for k in keys]).withColumn("fid", (F.col("fid") + top).cast(target.schema["fid"].dataType))
+    return out.unionByName(new, allowMissingColumns=True).select(*target.columns)
 
 
 def partition(df: DataFrame, path: str, fields: list[str], scheme: str = "hive", limit: int | None = None, drop_fields: bool = True) -> None:
@@ -131,6 +138,11 @@ def sort(df: DataFrame) -> DataFrame:
     return hilbert_key(df).orderBy(F.col("hilbert").asc_nulls_last(), "fid").drop("hilbert")
 
 
+def extent(df: DataFrame) -> DataFrame:
+    """n, xmin, ymin, xmax, ymax of the rows that have an envelope."""
+    return df.agg(F.count("*").alias("n"), F.min("env.xmin").alias("xmin"), F.min("env.ymin").alias("ymin"), F.max("env.xmax").alias("xmax"), F.max("env.ymax").alias("ymax"))
+
+
 def info(layer: Layer) -> dict:
     """Counts, extent and fields of a layer."""
     env = [F.min("env.xmin"), F.min("env.ymin"), F.max("env.xmax"), F.max("env.ymax")] if "env" in layer.df.columns else []
@@ -199,8 +211,14 @@ def index(layers: list[tuple[str, Layer]]) -> DataFrame:
 
 
 def renumber(df: DataFrame, *order: Column) -> DataFrame:
-    """New fids from 1 in the given order; the numbers of a partition follow those of the ones before it."""
-    ordered = df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id())
+    """New fids from 1 in the given order, ties by all fields; the numbers of a partition follow those of the ones before it.
+
+    The ordered rows are written once, so that both uses see the same partitions.
+    """
+    from .components import cut_lineage
+
+    tie = F.xxhash64(*df.columns)
+    ordered = cut_lineage(df.orderBy(*order, tie).withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright("__m", 33)
     sizes = ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
     before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # a row per partition

@@ -63,13 +63,25 @@ KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
 
 
 def resize(df: DataFrame, size: tuple[int, int], new: tuple[int, int], method: str = "nearest") -> DataFrame:
-    """From size (height, width) to new. Kernels are separable: an aggregate by row, then one by column; valid taps are renormalised."""
+    """From size (height, width) to new. Kernels are separable: an aggregate by row, then one by column; valid taps are renormalised.
+
+    method: nearest, bilinear, cubic, cubicspline, lanczos; by area: average, sum, rms, min, max; by centres: mode, med, q1, q3.
+    """
     (h, w), (nh, nw) = size, new
     if method == "nearest":
         spread = lambda c, old, now: F.filter(F.transform(F.sequence(F.floor(c * now / old).cast("int") - 1, F.ceil((c + 1) * now / old).cast("int")), lambda k: F.when((k >= 0) & (k < now) & (F.floor((k + 0.5) * old / now + 1e-10) == c), k)), lambda k: k.isNotNull())
         out = df.withColumn("nr", F.explode(spread(F.col("row"), h, nh))).withColumn("nc", F.explode(spread(F.col("col"), w, nw)))
         return out.select("band", F.col("nr").alias("row"), F.col("nc").alias("col"), "v")
-    if method == "average":
+    area = ("average", "sum", "rms", "min", "max")
+    if method in ("mode", "med", "q1", "q3"):  # of the source cells whose centre is in the target cell
+        k = {"med": 0.5, "q1": 0.25, "q3": 0.75}
+        at = lambda c, old, now: F.floor((F.col(c) + 0.5) * now / old).cast("int")
+        inside = df.filter("v is not null").select("band", at("row", h, nh).alias("row"), at("col", w, nw).alias("col"), "v")
+        if method == "mode":
+            counts = inside.groupBy("band", "row", "col", "v").agg(F.count("*").alias("n"))
+            return counts.groupBy("band", "row", "col").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+        return inside.groupBy("band", "row", "col").agg(F.percentile("v", F.lit(k[method])).alias("v"))
+    if method in area:
         taps = lambda c, old, now: F.transform(F.sequence(F.floor(c * now / old).cast("int"), F.ceil((c + 1) * now / old).cast("int") - 1), lambda k: F.struct(k.alias("k"), (F.least((k + 1) * old / now, c + 1.0) - F.greatest(k * old / now, c.cast("double"))).alias("w")))
     else:
         radius, fn = KERNELS[method]
@@ -84,10 +96,18 @@ def resize(df: DataFrame, size: tuple[int, int], new: tuple[int, int], method: s
 
     def one(x: DataFrame, axis: str, other: str, old: int, now: int) -> DataFrame:
         sent = x.withColumn("t", F.explode(taps(F.col(axis), old, now))).filter("t.w <> 0")
-        sums = sent.groupBy("band", F.col("t.k").alias(axis), other).agg(F.sum(F.col("v") * F.col("t.w")).alias("s"), F.sum("t.w").alias("n"))
+        by = sent.groupBy("band", F.col("t.k").alias(axis), other)
+        if method in ("min", "max"):
+            return by.agg((F.min if method == "min" else F.max)("v").alias("v"))
+        if method == "sum":
+            return by.agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+        sums = by.agg(F.sum(F.col("v") * F.col("t.w")).alias("s"), F.sum("t.w").alias("n"))
         return sums.filter("n <> 0").select("band", axis, other, (F.col("s") / F.col("n")).alias("v"))
 
-    return one(one(valid, "col", "row", w, nw), "row", "col", h, nh).select("band", "row", "col", "v")
+    if method == "rms":
+        valid = valid.withColumn("v", F.col("v") * F.col("v"))
+    out = one(one(valid, "col", "row", w, nw), "row", "col", h, nh).select("band", "row", "col", "v")
+    return out.withColumn("v", F.sqrt("v")) if method == "rms" else out
 
 
 def reproject(df: DataFrame, target: DataFrame, inverse: Callable[[Column, Column], tuple[Column, Column]], source_gt: tuple[float, ...], target_gt: tuple[float, ...], method: str = "nearest") -> DataFrame:

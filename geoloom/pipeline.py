@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators import components, convert, geometry, raster, stencil, vector, warp
-from geoloom.sources import geojson, tiff
+from geoloom.sources import files, geojson, tiff
 
 STEPS: dict[str, Callable] = {}
 
@@ -81,10 +81,9 @@ def run(spark: SparkSession, text: str, inputs: dict[str, DataFrame] | None = No
     return df
 
 
-def save(text: str, path: str) -> None:
+def save(text: str, path: str, spark: SparkSession | None = None) -> None:
     parse(text)
-    with open(path, "w") as f:
-        json.dump({"type": "pipeline", "command_line": text}, f)
+    files.write_bytes(spark or SparkSession.active(), path, json.dumps({"type": "pipeline", "command_line": text}).encode())
 
 
 def load(spark: SparkSession, path: str, inputs: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from geoloom.catalog import ORACLE_SQL, QUERIES
 
-from . import conversion_plans, overlay_plans, pipeline_plans, raster_plans, sql_plans, stencil_plans, vector_plans  # noqa: F401
+from . import conversion_plans, geometry_plans, overlay_plans, pipeline_plans, raster_plans, source_plans, sql_plans, stencil_plans, vector_plans  # noqa: F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

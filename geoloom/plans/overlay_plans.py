@@ -14,23 +14,23 @@ RECTS = "z AS (SELECT s_suppkey fid, CAST(s_suppkey * 7 % 30 AS DOUBLE) x0, CAST
 MEET = "a.x0 < b.x0 + b.w AND b.x0 < a.x0 + a.w AND a.y0 < b.y0 + b.w AND b.y0 < a.y0 + a.w"
 
 
-def _rects(spark, sf_dir):  # noqa: ANN001, ANN202
+def _rects(spark, sf_dir, spread=1):  # noqa: ANN001, ANN202
     k = F.col("s_suppkey")
-    x, y, w = (k * 7 % 30).cast("double"), (k * 11 % 40).cast("double"), (3 + k % 5).cast("double")
+    x, y, w = (k * 7 % 30 * spread).cast("double"), (k * 11 % 40 * spread).cast("double"), (3 + k % 5).cast("double")
     return make_rectangle(table(spark, sf_dir, "supplier").withColumn("fid", k), x, y, x + w, y + w).select("fid", "geom", "env")
 
 
-@query("overlay_intersection", f"WITH {RECTS} SELECT a.fid fid_a, b.fid fid_b, round((least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.y0 + a.w, b.y0 + b.w) - greatest(a.y0, b.y0)), 6) area FROM z a JOIN z b ON {MEET} WHERE a.fid % 2 = 0 AND b.fid % 2 = 1")
+@query("overlay_intersection", f"WITH {RECTS} SELECT a.fid fid_a, b.fid fid_b, round((least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.y0 + a.w, b.y0 + b.w) - greatest(a.y0, b.y0)), 6) area FROM z a JOIN z b ON {MEET}")
 def overlay_intersection(spark, sf_dir):  # noqa: ANN001, ANN201
     z = _rects(spark, sf_dir)
-    out = overlay.intersection(z.filter("fid % 2 = 0"), z.filter("fid % 2 = 1"), 8.0)
+    out = overlay.intersection(z, z, 8.0)
     return out.select("fid_a", "fid_b", F.round(area(F.col("geom")), 6).alias("area"))
 
 
-@query("overlay_disjoint", f"WITH {RECTS} SELECT a.fid FROM z a WHERE a.fid % 2 = 0 AND NOT EXISTS (SELECT 1 FROM z b WHERE b.fid % 8 = 1 AND {MEET})")
+@query("overlay_disjoint", f"WITH {RECTS} SELECT b.fid FROM (SELECT fid, x0 * 3 x0, y0 * 3 y0, w FROM z) b WHERE NOT EXISTS (SELECT 1 FROM z a WHERE {MEET})")
 def overlay_disjoint(spark, sf_dir):  # noqa: ANN001, ANN201
-    z = _rects(spark, sf_dir)
-    return overlay.disjoint(z.filter("fid % 2 = 0"), z.filter("fid % 8 = 1"), 8.0).select("fid")
+    """All rectangles, moved away from the origin, that none of those in place meets."""
+    return overlay.disjoint(_rects(spark, sf_dir, 3), _rects(spark, sf_dir), 8.0).select("fid")
 
 
 @query("calc_expression", f'WITH {DEM} SELECT r "row", c "col", round(CASE WHEN v > 1000 AND k < 30 THEN (v - k) / (v + k) ELSE sqrt(v) + pow(k, 2) END, 6) v FROM dem')

@@ -27,7 +27,8 @@ statement(
     "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber = 3 THEN 2147483647 ELSE l_orderkey // (l_linenumber - 3) END AS BIGINT) q, CAST(CASE WHEN l_linenumber = 3 THEN 2147483647 ELSE l_orderkey % (l_linenumber - 3) END AS BIGINT) m, CAST(-l_linenumber * 2 + 7 AS BIGINT) e FROM lineitem",
 )
 statement("sql_in_null", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (1, NULL)", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (1)")
-statement("sql_like", "part", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_'", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1_'")
+statement("sql_like", "part", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%bol_' AND p_name NOT LIKE 'BLUE%'", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%bol_' AND p_name NOT LIKE 'BLUE%'")
+statement("sql_fold_letters", "part", "SELECT p_partkey FROM part WHERE p_type = 'eCoNoMy' OR p_name IN ('RED BOLT', 'Hot Gear') OR p_brand < 'BRAND#11'", "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' OR p_name IN ('red bolt', 'hot gear') OR lower(p_brand) < 'brand#11'")
 statement("sql_ilike_escape", "part", "SELECT p_partkey, p_brand FROM part WHERE p_brand ILIKE 'BRAND!#%' ESCAPE '!' OR p_name ILIKE '%!%%' ESCAPE '!'", "SELECT p_partkey, p_brand FROM part WHERE p_brand ILIKE 'BRAND!#%' ESCAPE '!' OR p_name ILIKE '%!%%' ESCAPE '!'")
 statement(
     "sql_agg_all", "orders",

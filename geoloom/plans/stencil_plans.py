@@ -31,6 +31,16 @@ terrain(
     "dem_hillshade", lambda d: stencil.hillshade(d, 10.0, 10.0, z=2.0),
     "floor(1 + 254 * greatest(0, least(1, (sin(radians(45)) + cos(radians(45)) * (sin(radians(315)) * (-gx / 40) + cos(radians(315)) * (gy / 40))) / sqrt(1 + (gx / 40) * (gx / 40) + (gy / 40) * (gy / 40)))) + 0.5)", 0,
 )
+TRIG = "degrees(atan2(gy, -gx))"
+terrain("dem_aspect_trigonometric", lambda d: stencil.aspect(d, trigonometric=True, zero_for_flat=True), f"CASE WHEN gx = 0 AND gy = 0 THEN 0 WHEN {TRIG} < 0 THEN {TRIG} + 360 ELSE {TRIG} END")
+STEEP = "((gx / 80) * (gx / 80) + (gy / 80) * (gy / 80))"
+LIT = lambda az: f"((sin(radians(45)) + cos(radians(45)) * (sin(radians({az})) * (-gx / 80) + cos(radians({az})) * (gy / 80))) / sqrt(1 + {STEEP}))"
+BYTE = lambda x: f"floor(1 + 254 * greatest(0, least(1, {x})) + 0.5)"
+terrain("dem_hillshade_combined", lambda d: stencil.hillshade(d, 10.0, 10.0, variant="combined"), BYTE(f"1 - acos(greatest(-1, least(1, {LIT(315)}))) * atan(sqrt({STEEP})) / (pi() * pi() / 4)"), 0)
+TURN = "abs(atan2(-gx / 80, gy / 80) - radians(315))"
+terrain("dem_hillshade_igor", lambda d: stencil.hillshade(d, 10.0, 10.0, variant="igor"), BYTE(f"1 - atan(sqrt({STEEP})) / (pi() / 2) * ((CASE WHEN {TURN} % (2 * pi()) > pi() THEN 2 * pi() - {TURN} % (2 * pi()) ELSE {TURN} % (2 * pi()) END) / pi())"), 0)
+MULTI = " + ".join(f"greatest(0, {LIT(az)}) * ({g} / 80) * ({g} / 80)" for az, g in ((225, "gx"), (270, "gx"), (315, "gy"), (360, "gy")))
+terrain("dem_hillshade_multidirectional", lambda d: stencil.hillshade(d, 10.0, 10.0, variant="multidirectional"), BYTE(f"CASE WHEN {STEEP} > 0 THEN ({MULTI}) / (2 * {STEEP}) ELSE sin(radians(45)) END"), 0)
 terrain("dem_roughness", stencil.roughness, "greatest(nw, n, ne, w, c0, e, sw, s, se) - least(nw, n, ne, w, c0, e, sw, s, se)")
 terrain("dem_tpi", stencil.tpi, "c0 - (nw + n + ne + w + e + sw + s + se) / 8")
 terrain("dem_tri_riley", stencil.tri, "sqrt(pow(nw - c0, 2) + pow(n - c0, 2) + pow(ne - c0, 2) + pow(w - c0, 2) + pow(e - c0, 2) + pow(sw - c0, 2) + pow(s - c0, 2) + pow(se - c0, 2))")
@@ -47,3 +57,13 @@ def raster_neighbors_gauss(spark, sf_dir):  # noqa: ANN001, ANN201
 @query("raster_neighbors_median", f'WITH {CLAMPED} SELECT r "row", c "col", round(median(v), 6) v FROM f GROUP BY r, c')
 def raster_neighbors_median(spark, sf_dir):  # noqa: ANN001, ANN201
     return stencil.neighbors(dem(spark, sf_dir), "equal", "median").select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query("raster_neighbors_max", f'WITH {CLAMPED} SELECT r "row", c "col", max(v) v FROM f GROUP BY r, c')
+def raster_neighbors_max(spark, sf_dir):  # noqa: ANN001, ANN201
+    return stencil.neighbors(dem(spark, sf_dir), "equal", "max").select("row", "col", "v")
+
+
+@query("raster_neighbors_edge", f'WITH {CLAMPED.replace("[1, 2, 1][i + 2] * [1, 2, 1][j + 2]", "CASE WHEN i = 0 AND j = 0 THEN 8 ELSE -1 END")} SELECT r "row", c "col", round(sum(v * wt), 6) v FROM f GROUP BY r, c')
+def raster_neighbors_edge(spark, sf_dir):  # noqa: ANN001, ANN201
+    return stencil.neighbors(dem(spark, sf_dir), "edge2", "sum").select("row", "col", F.round("v", 6).alias("v"))

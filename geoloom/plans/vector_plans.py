@@ -40,12 +40,13 @@ def vector_combine_group(spark, sf_dir):  # noqa: ANN001, ANN201
     return vector.combine(pts, ["g"], {"zsum": F.round(F.sum("z"), 6)}).select("g", "members", "env.*", "zsum")
 
 
-UPDATED = f"{PTS}, t AS (SELECT fid, x, z FROM pts WHERE fid < 1000), s AS (SELECT fid, x, z + 1 z FROM pts WHERE fid >= 500)"
+#: Target: every customer whose key isn't a multiple of three; source: those whose key isn't a multiple of four.
+UPDATED = f"{PTS}, t AS (SELECT fid, x, z FROM pts WHERE fid % 3 <> 0), s AS (SELECT fid, x, z + 1 z FROM pts WHERE fid % 4 <> 0)"
 
 
 def _update(spark, sf_dir, mode):  # noqa: ANN001, ANN202
     pts = points(spark, sf_dir).select("fid", "x", "z")
-    return vector.update(pts.filter("fid < 1000"), pts.filter("fid >= 500").withColumn("z", F.col("z") + 1), ["fid"], mode, ["x", "z"])
+    return vector.update(pts.filter("fid % 3 <> 0"), pts.filter("fid % 4 <> 0").withColumn("z", F.col("z") + 1), ["fid"], mode, ["x", "z"])
 
 
 @query("vector_update_merge", f"WITH {UPDATED} SELECT coalesce(t.fid, s.fid) fid, coalesce(s.x, t.x) x, coalesce(s.z, t.z) z FROM t FULL JOIN s ON t.fid = s.fid")
@@ -63,6 +64,25 @@ def vector_append_only(spark, sf_dir):  # noqa: ANN001, ANN201
     return _update(spark, sf_dir, "append_only")
 
 
+#: Keyed by name: target has twice those whose key is 10 more than a multiple of 30, source two rows of those that end in 1.
+BY_NAME = """t AS (SELECT c_custkey + 100 fid, c_name AS name, c_acctbal z FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey + 10000000, c_name, 0 FROM customer WHERE c_custkey % 30 = 10),
+s AS (SELECT name, min(z) z FROM (SELECT c_name AS name, c_acctbal + 1 z, c_custkey k FROM customer UNION ALL SELECT c_name, c_acctbal - 1, c_custkey FROM customer WHERE c_custkey % 10 = 1) WHERE k % 4 <> 0 GROUP BY 1),
+once AS (SELECT name FROM t GROUP BY 1 HAVING count(*) = 1),
+new AS (SELECT name, z FROM s WHERE name NOT IN (SELECT name FROM t))"""
+
+
+@query(
+    "vector_update_by_name",
+    f"WITH {BY_NAME} SELECT t.fid, t.name, coalesce(s.z, t.z) z FROM t LEFT JOIN once ON once.name = t.name LEFT JOIN s ON s.name = once.name UNION ALL SELECT (SELECT max(fid) FROM t) + row_number() OVER (ORDER BY name), name, z FROM new",
+)
+def vector_update_by_name(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Appended rows take fids after the target's."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("z"))
+    target = c.filter("k % 3 <> 0").select((F.col("k") + 100).alias("fid"), "name", "z").unionByName(c.filter("k % 30 = 10").select((F.col("k") + 10_000_000).alias("fid"), "name", F.lit(0.0).alias("z")))
+    source = c.withColumn("z", F.col("z") + 1).unionByName(c.filter("k % 10 = 1").withColumn("z", F.col("z") - 1)).filter("k % 4 <> 0")
+    return vector.update(target, source.select("name", "z"), ["name"], "merge", ["z"])
+
+
 HILBERT = f"""
 WITH RECURSIVE {PTS}, e AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM pts),
 h(fid, k, x, y, d) AS (

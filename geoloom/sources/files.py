@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202
@@ -50,20 +51,93 @@ def sync(spark: SparkSession, source: str, target: str) -> list[str]:
     return done
 
 
+def head(spark: SparkSession, path: str, size: int = 4096) -> bytes:
+    """The first bytes of a file."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(spark.sparkContext._jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    fs, p = _fs(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(content)
+    finally:
+        stream.close()
+
+
+#: What a file of a format begins with.
+MAGIC = {b"II*\0": "TIFF", b"MM\0*": "TIFF", b"II+\0": "TIFF", b"MM\0+": "TIFF", b"\0\0\x27\x0a": "Shapefile", b"PAR1": "Parquet"}
+TEXTS = [
+    (r"^\s*<VRTDataset", "VRT"),
+    (r'"type"\s*:\s*"Topology"', "TopoJSON"),
+    (r'"geometryType"\s*:\s*"esri|"esriFieldType', "ESRIJSON"),
+    (r'^\x1e?\s*\{[^\n]*"type"\s*:\s*"Feature"[^\n]*\}\s*\n', "GeoJSONSeq"),
+    (r'"type"\s*:\s*"(Feature|FeatureCollection|Point|LineString|Polygon|Multi\w+|GeometryCollection)"', "GeoJSON"),
+    (r'"type"\s*:\s*"pipeline"', "Pipeline"),
+]
+
+
+def format_of(first: bytes) -> str | None:
+    text = first.decode("latin-1")
+    return MAGIC.get(first[:4]) or next((kind for pattern, kind in TEXTS if re.search(pattern, text)), None)
+
+
 def identify(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path and format of the files that a reader knows, by their first bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    head = F.hex(F.substring("content", 1, 4))
-    text = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
-    kind = (
-        F.when(head.isin("49492A00", "4D4D002A", "49492B00", "4D4D002B"), "TIFF")
-        .when(head == "0000270A", "Shapefile")
-        .when(head == "50415231", "Parquet")
-        .when(text.rlike(r'^\s*<VRTDataset'), "VRT")
-        .when(text.rlike(r'"type"\s*:\s*"Topology"'), "TopoJSON")
-        .when(text.rlike(r'"geometryType"\s*:\s*"esri|"esriFieldType'), "ESRIJSON")
-        .when(text.rlike(r'^\x1e?\s*\{[^\n]*"type"\s*:\s*"Feature"[^\n]*\}\s*\n'), "GeoJSONSeq")
-        .when(text.rlike(r'"type"\s*:\s*"(Feature|FeatureCollection|Point|LineString|Polygon|Multi\w+|GeometryCollection)"'), "GeoJSON")
-        .when(text.rlike(r'"type"\s*:\s*"pipeline"'), "Pipeline")
-    )
-    return files.select("path", kind.alias("format")).filter("format is not null")
+    """path and format of the files that a reader knows, by their first bytes: nothing else of a file is read."""
+    found = [(x["path"], format_of(head(spark, x["path"]))) for x in listing(spark, path, recursive) if not x["directory"]]
+    return spark.createDataFrame([x for x in found if x[1]], "path string, format string")
+
+
+#: Files that stand beside those of a format, by their ending.
+BESIDE = {".shp": (".shx", ".dbf", ".prj", ".cpg"), ".tif": (".tfw", ".tif.aux.xml", ".tif.ovr")}
+
+
+def members(spark: SparkSession, path: str) -> list[str]:
+    """A dataset's files: path, and what stands beside it."""
+    stem, end = path[: path.rfind(".")], path[path.rfind(".") :].lower()
+    beside = [stem + x for x in BESIDE.get(end, ())]
+    return [path, *[x for x in beside if _fs(spark, x)[0].exists(_fs(spark, x)[1])]]
+
+
+def copy_dataset(spark: SparkSession, source: str, target: str, delete_source: bool = False) -> list[str]:
+    """Copies (or moves) a dataset with the files beside it."""
+    old, new = source[: source.rfind(".")], target[: target.rfind(".")]
+    out = []
+    for x in members(spark, source):
+        out.append(new + x[len(old) :])
+        copy(spark, x, out[-1], delete_source)
+    return out
+
+
+def delete_dataset(spark: SparkSession, path: str) -> list[str]:
+    own = members(spark, path)
+    for x in own:
+        delete(spark, x)
+    return own
+
+
+def check(spark: SparkSession, path: str) -> str | None:
+    """Why a dataset can't be read to its end, or None: every row or cell is read."""
+    from . import geojson, shapefile, tiff, vrt
+
+    kind = format_of(head(spark, path))
+    readers = {"TIFF": tiff.read, "VRT": vrt.read, "GeoJSON": geojson.read, "GeoJSONSeq": geojson.read_seq, "ESRIJSON": geojson.read_esri, "Shapefile": shapefile.read}
+    if kind == "Parquet":
+        frames = [lambda: spark.read.parquet(path)]
+    elif kind == "TopoJSON":
+        frames = [lambda: next(iter(geojson.read_topojson(spark, path).values())).df]
+    elif kind in readers:
+        frames = [lambda: readers[kind](spark, path).df]
+    else:
+        return "no reader knows it"
+    try:
+        for frame in frames:
+            frame().write.format("noop").mode("overwrite").save()
+    except Exception as e:  # whatever a reader or a task raises is the finding
+        return (str(e).splitlines() or [type(e).__name__])[0]
+    return None

@@ -242,3 +242,31 @@ def features(df: DataFrame, precision: int | None = None) -> DataFrame:
 def write_seq(df: DataFrame, path: str, mode: str = "error", precision: int | None = None) -> None:
     """A folder of text files, a feature per line; append adds files."""
     features(df, precision).write.mode(mode).text(path)
+
+
+def write(df: DataFrame, path: str, precision: int | None = None) -> None:
+    """One document: features are written in parallel, then the parts are put together as a stream of bytes."""
+    from . import files
+
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    features(df, precision).select(F.concat(F.lit(","), "value").alias("value")).write.mode("overwrite").text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, target = files._fs(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(b'{"type":"FeatureCollection","features":[\n')
+        first = True
+        for x in files.listing(spark, parts):
+            if x["size"] and x["path"].rsplit("/", 1)[-1].startswith("part-"):
+                own = files._fs(spark, x["path"])
+                stream = own[0].open(own[1])
+                if first:
+                    stream.read()  # the comma before the first feature
+                    first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                stream.close()
+        out.write(b"]}\n")
+    finally:
+        out.close()
+    files.delete(spark, parts, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,3 +129,29 @@ def encode_points(rows: list[tuple], fields: list[tuple[str, str, int, int]]) ->
     return shp, dbf + b"\x1a"
 
 
+
+
+def write_points(df: DataFrame, path: str, fields: list[tuple[str, str, int, int]]) -> list[str]:
+    """Points (x, y, then a column per field) as a folder of shapefiles, one for each partition that has rows.
+
+    Files are encoded in parallel; the driver holds one at a time while it writes it.
+    """
+    from . import files
+
+    spark = df.sparkSession
+    names = ["x", "y", *[f[0] for f in fields]]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        rows: list[tuple] = []
+        for b in batches:
+            rows += zip(*(b[c].to_pylist() for c in names), strict=True)
+        if rows:
+            shp, dbf = encode_points(rows, fields)
+            yield pa.RecordBatch.from_arrays([pa.array([shp], pa.binary()), pa.array([dbf], pa.binary())], names=["shp", "dbf"])
+
+    out = []
+    for k, row in enumerate(df.select(*names).mapInArrow(run, "shp binary, dbf binary").toLocalIterator()):
+        out.append(f"{path}/part-{k:05d}.shp")
+        files.write_bytes(spark, out[-1], bytes(row["shp"]))
+        files.write_bytes(spark, out[-1][:-4] + ".dbf", bytes(row["dbf"]))
+    return out

@@ -36,13 +36,19 @@ class Directory:
         return DTYPES[(self.one(339, 1), self.one(258, 1))]
 
 
-def directory(raw: bytes) -> Directory:
+def directory(raw: bytes, level: int = 0) -> Directory:
+    """The directory of the raster, or of one of the overviews that follow it in the file."""
     order = {b"II": "<", b"MM": ">"}[raw[:2]]
     magic = struct.unpack_from(order + "H", raw, 2)[0]
     big = magic == 43
     if magic not in (42, 43):
         raise ValueError("not a TIFF file")
     at = struct.unpack_from(order + ("Q" if big else "I"), raw, 8 if big else 4)[0]
+    for _ in range(level):
+        n = struct.unpack_from(order + ("Q" if big else "H"), raw, at)[0]
+        at = struct.unpack_from(order + ("Q" if big else "I"), raw, at + (8 + 20 * n if big else 2 + 12 * n))[0]
+        if not at:
+            raise ValueError(f"no overview {level}")
     n = struct.unpack_from(order + ("Q" if big else "H"), raw, at)[0]
     at += 8 if big else 2
     tags = {}
@@ -112,10 +118,16 @@ def decode(raw: bytes, d: Directory, height: int, width: int, samples: int) -> n
     return x
 
 
-def read(spark: SparkSession, path: str, blocks_per_task: int = 16) -> Raster:
-    """A raster's cells (band, row, col, v); no-data values are null."""
-    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    d = directory(raw)
+def read(spark: SparkSession, path: str, blocks_per_task: int = 16, level: int = 0) -> Raster:
+    """A raster's cells (band, row, col, v); no-data values are null, and blocks that the file leaves out have no cells.
+
+    One file: several are put together by a virtual raster or a mosaic. level: 0, or the number of an overview.
+    """
+    found = spark.read.format("binaryFile").load(path).select("content").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{path} isn't one file")
+    raw = bytes(found[0][0])
+    d = directory(raw, level)
     w, h, n = d.one(256), d.one(257), d.one(277, 1)
     bw, bh = d.one(322, w), d.one(323, d.one(278, h))
     offsets, counts = d.tags.get(324, d.tags.get(273)), d.tags.get(325, d.tags.get(279))
@@ -133,6 +145,8 @@ def read(spark: SparkSession, path: str, blocks_per_task: int = 16) -> Raster:
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             for k, content in zip(b["id"].to_pylist(), b["content"].to_pylist(), strict=True):
+                if not counts[k]:
+                    continue
                 plane, place = divmod(k, across * down)
                 r0, c0 = place // across * bh, place % across * bw
                 rows = min(bh, h - r0) if 324 not in d.tags else bh
@@ -150,6 +164,105 @@ def read(spark: SparkSession, path: str, blocks_per_task: int = 16) -> Raster:
     return Raster(cells, w, h, n, gt, None, NAMES[d.dtype], nodata)
 
 
+def _tags(width: int, height: int, bands: int, dtype: np.dtype, tile: int, gt: tuple[float, ...] | None, nodata: float | None, reduced: bool) -> list[tuple[int, int, list]]:
+    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
+    out: list[tuple[int, int, list]] = [
+        (254, 4, [1 if reduced else 0]), (256, 4, [width]), (257, 4, [height]), (258, 3, [dtype.itemsize * 8] * bands), (259, 3, [8]), (262, 3, [1]),
+        (277, 3, [bands]), (284, 3, [2]), (322, 3, [tile]), (323, 3, [tile]), (339, 3, [kind] * bands),
+    ]
+    if gt and not reduced:
+        out += [(33550, 12, [gt[1], -gt[5], 0.0]), (33922, 12, [0.0, 0.0, 0.0, gt[0], gt[3], 0.0])]
+    if nodata is not None:
+        out.append((42113, 2, list((repr(float(nodata)) + "\0").encode())))
+    return out
+
+
+def _directory_bytes(tags: list[tuple[int, int, list]], at: int, after: int, big: bool) -> bytes:
+    """A directory at a place of the file; after: where the next one is, or 0."""
+    tags = sorted(tags)
+    head_size = (8 + 20 * len(tags) + 8) if big else (2 + 12 * len(tags) + 4)
+    room, head, extra = 8 if big else 4, b"", b""
+    for tag, t, v in tags:
+        data = bytes(v) if t == 2 else struct.pack(f"<{len(v)}{CODES[t]}", *v)
+        head += struct.pack("<HHQ" if big else "<HHI", tag, t, len(v))
+        if len(data) <= room:
+            head += data.ljust(room, b"\0")
+        else:
+            head += struct.pack("<Q" if big else "<I", at + head_size + len(extra))
+            extra += data + b"\0" * (-len(data) % 8)
+    return struct.pack("<Q" if big else "<H", len(tags)) + head + struct.pack("<Q" if big else "<I", after) + extra
+
+
+def write(r: Raster, path: str, tile: int = 256, overviews: int = 0, big: bool | None = None) -> None:
+    """A tiled, deflated TIFF: directories first (the raster, then its overviews by 2, 4, ...), then the tiles, those of the
+    smallest overview first, so that readers of ranges find what they need at the front of the file.
+
+    Tiles are put together and compressed in parallel and kept in the shared folder; the driver knows their sizes and
+    streams them into the file, a partition at a time. Tiles without cells take no room. big: more than 4 GB; None: as needed.
+    """
+    from pyspark.sql import functions as F
+
+    from geoloom.operators import raster, warp
+    from geoloom.operators.components import cut_lineage
+
+    from . import files
+
+    spark = r.df.sparkSession
+    dtype = np.dtype({v: k for k, v in NAMES.items()}[r.dtype])
+    fill = float(r.nodata) if r.nodata is not None else 0.0
+    levels = {0: r.df.select("band", "row", "col", "v")} | {k.bit_length() - 1: v for k, v in warp.pyramid(r.df, overviews).items()}
+    parts = [df.select(F.lit(k).alias("level"), F.col("band").cast("int").alias("band"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), raster.store(F.col("v").cast("double"), r.dtype).alias("v")) for k, df in levels.items()]
+    cells = parts[0]
+    for part in parts[1:]:
+        cells = cells.unionByName(part)
+    cells = cells.filter("v is not null").withColumns({"ty": F.expr(f"cast(row div {tile} as int)"), "tx": F.expr(f"cast(col div {tile} as int)")})
+
+    def packed(t: pa.Table) -> pa.Table:
+        values = np.full((tile, tile), fill, dtype.newbyteorder("<"))
+        values[t["row"].to_numpy() % tile, t["col"].to_numpy() % tile] = t["v"].to_numpy()
+        body = zlib.compress(values.tobytes())
+        first = [t[c][0].as_py() for c in ("level", "band", "ty", "tx")]
+        return pa.table({**{c: pa.array([x], pa.int32()) for c, x in zip(("level", "band", "ty", "tx"), first, strict=True)}, "size": pa.array([len(body)], pa.int64()), "body": pa.array([body], pa.binary())})
+
+    order = [F.desc("level"), "band", "ty", "tx"]
+    tiles = cells.groupBy("level", "band", "ty", "tx").applyInArrow(packed, "level int, band int, ty int, tx int, size long, body binary")
+    tiles = cut_lineage(tiles).orderBy(*order)
+    sizes = [tuple(x) for x in tiles.select("level", "band", "ty", "tx", "size").collect()]  # the numbers that directories hold
+    shape = {k: (-(-r.height // (1 << k)), -(-r.width // (1 << k))) for k in levels}
+    total = sum(x[4] for x in sizes)
+    if big is None:
+        big = total + 64 * sum(-(-h // tile) * -(-w // tile) * r.bands for h, w in shape.values()) > 4_000_000_000
+    wide = 16 if big else 4
+
+    def layout(begin: int) -> tuple[bytes, int]:
+        """All directories, when tiles begin at a place."""
+        at, place = begin, {}
+        for level, band, ty, tx, size in sizes:
+            place[level, band, ty, tx] = (at, size)
+            at += size
+        head = struct.pack("<HHHQ", 43, 8, 0, 16) if big else struct.pack("<HI", 42, 8)
+        out = b"II" + head
+        for k in sorted(levels):
+            h, w = shape[k]
+            grid = [place.get((k, b, ty, tx), (0, 0)) for b in range(1, r.bands + 1) for ty in range(-(-h // tile)) for tx in range(-(-w // tile))]
+            tags = _tags(w, h, r.bands, dtype, tile, r.gt, r.nodata, k > 0) + [(324, wide, [g[0] for g in grid]), (325, wide, [g[1] for g in grid])]
+            here = len(out)
+            alone = _directory_bytes(tags, here, 0, big)
+            after = here + len(alone) if k < max(levels) else 0
+            out += _directory_bytes(tags, here, after, big)
+        return out, len(out)
+
+    begin = layout(0)[1]
+    fs, target = files._fs(spark, path)
+    stream = fs.create(target, True)
+    try:
+        stream.write(layout(begin)[0])
+        for row in tiles.select("body").toLocalIterator():
+            stream.write(bytes(row["body"]))
+    finally:
+        stream.close()
+
+
 def encode(values: np.ndarray, gt: tuple[float, ...] | None = None, nodata: float | None = None, compress: bool = True) -> bytes:
     """A little-endian TIFF of bands x height x width, a strip per 64 rows and band."""
     bands, h, w = values.shape

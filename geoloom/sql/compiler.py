@@ -7,6 +7,8 @@ takes the numeric prefix of a string; nulls sort first; aggregates ignore ORDER
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.functions import geometry as g
 from geoloom.functions.cast import prefix_double, prefix_long
 
 from .parser import Node, Select, SqlError, parse_expr, parse_select
@@ -39,6 +42,20 @@ def _kind(t: T.DataType) -> str:
     return "str"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fields that every layer with geometry has; a prefix of three letters before them is read over.
+SPECIAL = re.compile(r"(?:[a-z]{3}_)?(geometry|geom_wkt|geom_area|style)")
+
+
+def fold(c: Column) -> Column:
+    """ASCII letters in lower case; others stay."""
+    return F.translate(c, UPPER, LOWER)
+
+
+def folded(text: str) -> str:
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def case_variants(text: str) -> list[str]:
     return ["".join(x) for x in product(*[(c.lower(), c.upper()) if c.isascii() and c.isalpha() else (c,) for c in text])]
 
@@ -52,6 +69,8 @@ class Compiler:
         if qualifier is not None and self.names and qualifier.lower() not in self.names:
             raise SqlError(f"unknown table {qualifier}")
         f = self.fields.get(name.lower())
+        if f is None and "geom" in self.fields and (m := SPECIAL.fullmatch(name.lower())):
+            return self.special(m[1])
         if f is None:
             raise SqlError(f"unknown field {name}")
         c = F.col(f"`{f.name}`")
@@ -61,6 +80,15 @@ class Compiler:
             return Bound(c.cast("string"), "str")
         return Bound(c, _kind(f.dataType), bare=c)
 
+    def special(self, name: str) -> Bound:
+        """The type name, text, area or style of the geometry."""
+        geom = F.col(f"`{self.fields['geom'].name}`")
+        if name == "style":
+            return Bound(F.lit(None).cast("string"), "str")
+        if name == "geom_area":
+            return Bound(g.geometry_udf(g.area, "double")(geom), "real")
+        return Bound(g.geometry_udf(g.to_wkt if name == "geom_wkt" else lambda x: g.NAMES[x[0]].upper(), "string")(geom), "str")
+
     def bind(self, n: Node) -> Bound:
         if n.op == "lit":
             v = n.value
@@ -142,13 +170,13 @@ class Compiler:
             if letters <= 4:
                 ways = case_variants(lit.literal)
                 return other.bare == ways[0] if len(ways) == 1 else other.bare.isin(ways)
-            return F.lower(other.bare) == F.lit(lit.literal.lower())
+            return fold(other.bare) == F.lit(folded(lit.literal))
         else:
-            x, y = F.lower(a.col), F.lower(b.col)
+            x, y = fold(a.col), fold(b.col)
         return {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
     @staticmethod
-    def like(x: Bound, p: Bound, escape: str | None, fold: bool) -> Column:
+    def like(x: Bound, p: Bound, escape: str | None, any_case: bool) -> Column:
         if x.kind != "str" or not p.is_literal or not isinstance(p.literal, str):
             raise SqlError("LIKE wants a string and a pattern")
         pattern, out, k = p.literal, "", 0
@@ -160,7 +188,7 @@ class Compiler:
             else:
                 out += "\\\\" if c == "\\" else c
             k += 1
-        return x.col.ilike(out) if fold else x.col.like(out)
+        return fold(x.col).like(folded(out)) if any_case else x.col.like(out)
 
     def arithmetic(self, op: str, a: Bound, b: Bound) -> Bound:
         if op == "+" and a.kind == b.kind == "str":
@@ -257,13 +285,16 @@ def where(df: DataFrame, condition: str) -> DataFrame:
     return df.filter(Compiler(df.schema).truth(parse_expr(condition)))
 
 
-def execute_sql(layers: dict[str, DataFrame] | DataFrame, sql: str, fid: str | None = None) -> DataFrame:
-    """Runs one SELECT. layers: by name, or one DataFrame for any name. fid: the column that FID means, and the last sort key."""
+def execute_sql(layers: dict[str, DataFrame] | DataFrame, sql: str, fid: str | None = None, opener: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Runs one SELECT. layers: by name, or one DataFrame for any name. fid: the column that FID means, and the last sort key.
+    opener: gives the table of a second data source (FROM 'source'.table)."""
     s: Select = parse_select(sql)
     if isinstance(layers, DataFrame):
         df = layers
     else:
         found = {k.lower(): v for k, v in layers.items()}
+        if s.source and opener:
+            found[s.table.lower()] = opener(s.source)
         if s.table.lower() not in found:
             raise SqlError(f"unknown table {s.table}")
         df = found[s.table.lower()]

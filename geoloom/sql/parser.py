@@ -69,6 +69,7 @@ class Select:
     order: list[tuple[str, bool]] = field(default_factory=list)
     limit: int | None = None
     offset: int = 0
+    source: str | None = None  # FROM 'source'.table
 
 
 RESERVED = frozenset("SELECT DISTINCT ALL FROM WHERE ORDER BY LIMIT OFFSET AS AND OR NOT IN BETWEEN LIKE ILIKE ESCAPE IS NULL CAST ASC DESC UNION JOIN LEFT ON".split())
@@ -126,12 +127,13 @@ class Parser:
             table = t.text
         else:
             table = self.name()
+        source = None
         if self.take("."):
-            table = self.name()
+            source, table = table if t.kind == "str" else None, self.name()
         alias = None
         if self.take("AS") or self.toks[self.at].kind in ("name", "quoted") and self.toks[self.at].word() not in RESERVED:
             alias = self.name()
-        out = Select(items, table, alias, distinct)
+        out = Select(items, table, alias, distinct, source=source)
         if self.take("WHERE"):
             out.where = self.expr()
         if self.take("ORDER"):
