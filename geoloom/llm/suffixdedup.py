@@ -2,21 +2,24 @@
 
 Every 200-byte window of a text has an anchor that depends on its content alone (see anchors), so equal windows have
 equal anchors, at equal offsets. Anchors that occur once settle their windows: they can't repeat. An anchor whose whole
-context (all bytes that its windows cover) occurs again settles them, too: they all repeat. What is left are contexts
-that share an anchor but differ; they are dealt to shards by the anchor, and each shard sorts all suffixes of its
-contexts by induction (see induced: suffixes and common prefixes travel through queues per byte, which spill to scratch
-files). A window repeats if its suffix has 200 bytes or more in common with a neighbour in that order. An anchor whose
-contexts are more than a shard isn't sorted by one task: its windows are counted by their digests, which deals them out.
+context (all bytes that its windows cover, known by 128 bits of two hashes) occurs again settles them, too: they all
+repeat. What is left are contexts that share an anchor but differ; they are dealt to shards by the anchor, and each shard
+sorts all suffixes of its contexts by induction (see induced: suffixes and common prefixes travel through queues per
+byte; the shard's text, names and queues are in scratch files as far as they exceed BUDGET). A window repeats if its
+suffix has 200 bytes or more in common with a neighbour in that order. An anchor whose contexts are more than a shard
+isn't sorted by one task: its windows are counted by their digests, which deals them out.
 
 A context holds exactly the windows of its anchor, so a window is judged once, and never against itself.
 
 Defined results: null is the empty text; matches never cross rows; windows that overlap in one text count; rows that
-agree in id and text repeat each other wholly; a text shorter than 200 bytes is kept; other columns are ignored.
+agree in id and text repeat each other wholly; a text shorter than 200 bytes is kept; long texts are read in pieces that
+overlap by a window; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import WINDOW, Anchors
-from .common import Workspace, parallelism, table
-from .induced import suffix_order
+from .common import Workspace, join_hot, parallelism, table
+from .induced import repeated
 
 KEY = ["id", "h"]
 #: Bytes of contexts sorted at a time, and the most that one anchor may have to be sorted.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 32 << 20
+#: Bytes that a sort holds in memory; its arrays are some 16 times as large as its shard.
+BUDGET = 64 << 20
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -41,65 +46,99 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_anchors(docs: DataFrame) -> DataFrame:
-    """id, h, gram, context, first, last for every anchor."""
+    """id, h, gram, context and proof (hashes of the context), first, last for every anchor."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [anchors.of(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
+                found, proofs = [], []
+                for t in part.column("text").to_pylist():
+                    raw = t.encode("utf-8", "surrogatepass")
+                    found.append(anchors.of(raw))
+                    proofs += [hashlib.blake2b(raw[a : b + WINDOW], digest_size=8).digest() for a, b in zip(found[-1][2].tolist(), found[-1][3].tolist(), strict=True)]
                 n = [len(x[0]) for x in found]
                 if not sum(n):
                     continue
                 ids, hs = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in KEY)
                 gram, context, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
-                cols = [pa.array(ids), pa.array(hs), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "gram", "context", "first", "last"])
+                proof = np.frombuffer(b"".join(proofs), np.int64)
+                cols = [pa.array(ids), pa.array(hs), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(proof), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "gram", "context", "proof", "first", "last"])
 
-    return docs.select(*KEY, "text").mapInArrow(mapped, "id long, h long, gram long, context long, first int, last int")
+    return docs.select(*KEY, "text").mapInArrow(mapped, "id long, h long, gram long, context long, proof long, first int, last int")
 
 
-def sort_shards(contexts: DataFrame) -> DataFrame:
-    """id, h, start, end: byte ranges of judged windows that repeat. contexts: gram, id, h, first, last, judge, raw; dealt by gram and sorted by it."""
+class Shard:
+    """Contexts put one after another in a scratch file, and where they come from."""
 
-    def judged(rows: list[tuple]) -> Iterator[tuple]:
-        size = sum(len(r[6]) + 1 for r in rows)
-        text, at, starts = np.zeros(size, np.uint16), 0, []
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.at: list[np.ndarray] = []  # id, h, first, last, judge, place in the shard: a row per context
+        self.size = 0
+
+    def add(self, rows: list[tuple]) -> None:
+        """rows: id, h, first, last, judge, raw."""
         for r in rows:
-            text[at : at + len(r[6])] = np.frombuffer(r[6], np.uint8).astype(np.uint16) + 1
-            starts.append(at)
-            at += len(r[6]) + 1
-        order, lcp = suffix_order(text, WINDOW)
-        common = np.zeros(size, bool)
-        high = lcp >= WINDOW
-        common[order[high]] = True
-        common[order[:-1][high[1:]]] = True
-        for r, at in zip(rows, starts, strict=True):
-            if r[5]:
-                flags = common[at : at + r[4] - r[3] + 1].astype(np.int8)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    yield r[1], r[2], r[3] + a, r[3] + b - 1 + WINDOW
+            body = np.append(np.frombuffer(r[5], np.uint8).astype(np.uint16) + 1, np.uint16(0))
+            self.file.write(body.tobytes())
+        place = self.size + np.concatenate([[0], np.cumsum([len(r[5]) + 1 for r in rows])])
+        self.at.append(np.array([(*r[:5], p) for r, p in zip(rows, place[:-1].tolist(), strict=True)], np.int64).reshape(-1, 6))
+        self.size = int(place[-1])
+
+    def judged(self, budget: int) -> Iterator[tuple]:
+        """id, h, start, end: the byte ranges of judged windows that repeat."""
+        if not self.size:
+            return
+        self.file.flush()
+        flags = repeated(np.memmap(self.file, np.uint16, "r", shape=(self.size,)), WINDOW, budget)
+        for block in self.at:
+            for i, h, first, last, judge, at in block.tolist():
+                if judge:
+                    own = np.asarray(flags[at : at + last - first + 1]).astype(np.int8)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]])))
+                    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                        yield i, h, first + a, first + b - 1 + WINDOW
+
+
+def sort_shards(contexts: DataFrame) -> DataFrame:
+    """id, h, start, end: byte ranges of judged windows that repeat. contexts: gram, id, h, first, last, judge, raw; dealt by gram and sorted by it."""
+    shard_bytes, budget = SHARD_BYTES, BUDGET
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        shard, gram = Shard(), None
 
-        def out() -> pa.RecordBatch:
-            found = list(judged(held)) if held else []
-            held.clear()
+        def out(found: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["id", "h", "start", "end"])
 
+        def sorted_out() -> Iterator[pa.RecordBatch]:
+            found: list[tuple] = []
+            for row in shard.judged(budget):
+                found.append(row)
+                if len(found) == 50_000:
+                    yield out(found)
+                    found = []
+            yield out(found)
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "id", "h", "first", "last", "judge", "raw")), strict=True):
-                if size > SHARD_BYTES and row[0] != held[-1][0]:
-                    yield out()
-                    size = 0
-                held.append(row)
-                size += len(row[6])
-        yield out()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                grams = part.column("gram").to_pylist()
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("id", "h", "first", "last", "judge", "raw")), strict=True))
+                done = 0
+                if shard.size > shard_bytes:  # a gram's contexts stay together
+                    done = next((k for k, g in enumerate(grams) if g != gram), len(grams))
+                    if done < len(grams):
+                        shard.add(rows[:done])
+                        yield from sorted_out()
+                        shard = Shard()
+                    else:
+                        done = 0
+                shard.add(rows[done:])
+                gram = grams[-1]
+        yield from sorted_out()
 
     return contexts.mapInArrow(mapped, "id long, h long, start int, end int")
 
@@ -132,16 +171,23 @@ def all_windows(rows: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, space: Workspace) -> DataFrame:
     """id, h, ranges: array<struct<start,end>> of the bytes of repeated windows, for the rows that have any."""
     anchors = space.write(all_anchors(docs), "anchors")
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1").select("gram", (F.col("low") < F.col("high")).alias("mixed"))
-    flagged = space.write(anchors.join(grams, "gram"), "flagged")
+    context = F.struct("context", "proof")
+    counts = F.count("*").alias("n"), F.min(context).alias("low"), F.max(context).alias("high")
+    grams = anchors.groupBy("gram").agg(*counts).filter("n > 1").select("gram", "n", (F.col("low") < F.col("high")).alias("mixed"))
+    grams = space.write(grams, "grams")
+    flagged = join_hot(anchors, grams, ["gram"], "n", anchors.count()).drop("n")
+    flagged = space.write(flagged, "flagged")
     space.drop("anchors")
+    space.drop("grams")
     space.release()
     one = F.struct("id", "h", "first")
-    contexts = flagged.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("rep"))
-    decided = flagged.join(contexts, ["gram", "context"])
+    same = ["gram", "context", "proof"]
+    contexts = space.write(flagged.groupBy(*same).agg(F.count("*").alias("n"), F.min(one).alias("rep")), "contexts")
+    decided = join_hot(flagged, contexts, same, "n", flagged.count())
     full, ask = F.col("n") > 1, F.col("mixed") & ((F.col("n") == 1) | (one == F.col("rep")))
     decided = space.write(decided.select(*KEY, "gram", "first", "last", full.alias("full"), ask.alias("ask")).filter("full or ask"), "decided")
     space.drop("flagged")
+    space.drop("contexts")
     space.release()
     asks = decided.filter("ask").select(*KEY, "gram", "first", "last", (~F.col("full")).alias("judge"))
     hot = space.write(asks.groupBy("gram").agg(F.sum(F.col("last") - F.col("first") + WINDOW).alias("size")).filter(F.col("size") > SHARD_BYTES).select("gram"), "hot")
@@ -174,14 +220,15 @@ def repeated_ranges(docs: DataFrame, space: Workspace) -> DataFrame:
     return whole.union(found).groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
-def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) for every row of keyed docs."""
+def remove(docs: DataFrame, ranges: DataFrame, bodies: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if bodies, kept (the bytes that stay) for every row of keyed docs."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if bodies else [])]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n_bytes, n_removed, n_spans, digests, bodies = [], [], [], [], []
+                n_bytes, n_removed, n_spans, digests, kept_bytes = [], [], [], [], []
                 for text, own in zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     merged: list[list[int]] = []
@@ -199,14 +246,15 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                     n_removed.append(len(raw) - len(body))
                     n_spans.append(len(merged))
                     digests.append(hashlib.sha256(body).hexdigest())
-                    bodies.append(body)
-                cols = [part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(bodies, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    if bodies:
+                        kept_bytes.append(body)
+                cols = [part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept_bytes, pa.binary())] if bodies else [])], names=names)
 
     rows = docs.join(ranges, KEY, "left").select("doc_id", "text", "ranges")
-    return rows.mapInArrow(mapped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(mapped, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if bodies else ""))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents"))
-    return remove(docs, repeated_ranges(docs, Workspace(spark, "op8"))).drop("kept")
+    return remove(docs, repeated_ranges(docs, Workspace(spark, "op8")), bodies=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoloom.llm import suffixdedup
 from geoloom.llm.anchors import Anchors, sliding_min
 from geoloom.llm.common import Workspace
-from geoloom.llm.induced import suffix_order
+from geoloom.llm.induced import repeated, suffix_order
 
 
 def brute_order(text):
@@ -37,6 +37,24 @@ def test_order_and_common_prefixes(budget):
         assert list(order) == want and list(lcp) == (common if want else [])
 
 
+def test_a_string_far_larger_than_memory():
+    """A budget of 64 KB for a string of 600,000 characters: the same flags as in memory, from scratch files."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(1, 256, rng.integers(2, 9)) for _ in range(300)]
+    parts = [np.append(np.concatenate([words[k] for k in rng.integers(0, 300, 120)]), 0) for _ in range(800)]
+    parts += [parts[k] for k in range(0, 800, 9)] + [np.append(parts[3][5:400], 0)]
+    text = np.concatenate(parts).astype(np.uint16)
+    stats: dict = {}
+    got = repeated(text, 200, 64 << 10, stats)
+    assert stats["spilled"] > 10 * len(text) and np.array_equal(got, repeated(text, 200, 64 << 20))
+    ends = np.flatnonzero(text == 0)
+    whole = {bytes(p.astype(">u2").tobytes()) for p in parts[:800:9]}
+    first = np.concatenate([[0], ends[:-1] + 1])
+    for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+        if text[a : b + 1].astype(">u2").tobytes() in whole and b - a >= 200:
+            assert got[a : b - 199].all()
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 100, 57).astype(np.uint64)
     for w in (1, 5, 57):
@@ -69,7 +87,10 @@ def brute_kept(texts):
     return out
 
 
-def test_removal_against_windows(spark, make):
+@pytest.mark.parametrize("budget", [64 << 20, 64 << 10])
+def test_removal_against_windows(spark, make, monkeypatch, budget):
+    """Also with so little memory that the sorts of the query's path go through scratch files."""
+    monkeypatch.setattr(suffixdedup, "BUDGET", budget)
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
