@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoloom import pipeline
 from geoloom.functions import geometry as g
 from geoloom.functions import pixel
-from geoloom.model import Layer
+from geoloom.model import Layer, Raster
 from geoloom.operators import components, distance, geometry, grid, mdim, raster, stencil, vector, warp
 from geoloom.sources import archives, files, geojson, shapefile, tiff, vrt
 from geoloom.sql import execute_sql
@@ -75,6 +75,13 @@ def test_dialect_rules(spark):
             execute_sql(df, bad).collect()
 
 
+def test_letters_fold_in_ascii_only(spark):
+    df = spark.createDataFrame([("Éa",), ("éA",), ("éabcde",), ("ÉABCDE",)], "n string")
+    found = lambda where: sorted(r["n"] for r in execute_sql(df, f"SELECT n FROM t WHERE {where}").collect())
+    assert found("n = 'éa'") == ["éA"] and found("n = 'éabcde'") == ["éabcde"] and found("n = 'éABCDe'") == ["éabcde"]
+    assert found("n ILIKE 'ÉABC%'") == ["ÉABCDE"] and found("n IN ('ÉA', 'x')") == ["Éa"]
+
+
 def test_equality_reaches_the_scan(spark, tmp_path):
     spark.createDataFrame([("A", 1), ("b", 2)], "s string, n int").write.parquet(str(tmp_path / "t"))
     plan = execute_sql(spark.read.parquet(str(tmp_path / "t")), "SELECT n FROM t WHERE s = 'a'")._jdf.queryExecution().toString()
@@ -156,6 +163,57 @@ def test_delaunay_is_linear(spark):
     assert np.allclose(out.v, 2 * (out.i + 0.5) * 11 + 3 * (out.j + 0.5) * 11 + 1)
 
 
+def test_linear_against_all_triangles(spark):
+    """The plane through the triangle around a node whose circle holds no other point."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    xy, z = rng.random((22, 2)) * 100, rng.random(22) * 10
+    pts = spark.createDataFrame([(k, float(xy[k, 0]), float(xy[k, 1]), float(z[k])) for k in range(22)], "fid long, x double, y double, z double")
+    out = {(r["i"], r["j"]): r["v"] for r in grid.linear(grid.nodes(spark, 6, 6, 20, 20, 10, 10), pts, 0.0, nodata=-1.0).collect()}
+    found = {}
+    for t in combinations(range(22), 3):
+        a, b, c = xy[list(t)]
+        m = np.array([[*(b - a)], [*(c - a)]])
+        if abs(np.linalg.det(m)) < 1e-9:
+            continue
+        centre = a + np.linalg.solve(2 * m, [(b - a) @ (b - a), (c - a) @ (c - a)])
+        if (np.hypot(*(xy - centre).T) < np.hypot(*(a - centre)) - 1e-9).any():
+            continue
+        for i in range(6):
+            for j in range(6):
+                w = np.linalg.solve(m.T, np.array([20 + 10 * (i + 0.5), 20 + 10 * (j + 0.5)]) - a)
+                if min(*w, 1 - w.sum()) >= 0:
+                    found[i, j] = z[t[0]] * (1 - w.sum()) + z[t[1]] * w[0] + z[t[2]] * w[1]
+    assert found and all(abs(out[k] - v) < 1e-6 for k, v in found.items())
+
+
+def test_palette_against_all_colours(spark):
+    rng = np.random.default_rng(6)
+    rgb = rng.integers(0, 256, (300, 3))
+    df = spark.createDataFrame([(k // 20, k % 20, *map(int, c)) for k, c in enumerate(rgb)], "row int, col int, r int, g int, b int")
+    out, palette = raster.rgb_to_palette(df, 12)
+    got = {(r["row"], r["col"]): r["v"] for r in out.collect()}
+    near = ((rgb[:, None, :] - np.array(palette)[None]) ** 2).sum(2).argmin(1)
+    assert len(palette) == 12 and all(got[k // 20, k % 20] == near[k] for k in range(300))
+
+
+def test_tiff_writer(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 200, (2, 45, 70)).astype(float)
+    df = spark.createDataFrame([(b + 1, r, c, float(values[b, r, c])) for b in range(2) for r in range(45) for c in range(70) if not (r < 16 and c < 16)], "band int, row int, col int, v double")
+    for big in (False, True):
+        path = f"file://{tmp_path}/{big}.tif"
+        tiff.write(Raster(df, 70, 45, 2, (5.0, 2.0, 0.0, 9.0, 0.0, -2.0), None, "Byte", 255.0), path, tile=16, overviews=2, big=big)
+        r = tiff.read(spark, path)
+        assert (r.width, r.height, r.bands, r.dtype, r.gt[:2], r.nodata) == (70, 45, 2, "Byte", (5.0, 2.0), 255.0)
+        got = tiff.to_array(r.df, 45, 70, 2, "f8", -1.0)
+        assert (got[:, :16, :16] == -1).all() and np.array_equal(got[:, 16:], values[:, 16:])  # a tile without cells isn't stored
+        assert tiff.read(spark, path, level=2).width == 18
+    with pytest.raises(ValueError):
+        tiff.read(spark, f"file://{tmp_path}/*.tif")
+
+
 @pytest.mark.parametrize("method", ["bilinear", "cubic", "cubicspline", "lanczos", "average", "nearest"])
 def test_resize_keeps_constants(spark, method):
     out = grid_of(warp.resize(cells(spark, [[7.0] * 6 for _ in range(5)]), (5, 6), (9, 4), method))
@@ -269,6 +327,12 @@ def test_update_ignores_double_keys(spark):
     s = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (None, "q")], "k int, v string")
     got = sorted((r["k"] or 0, r["v"]) for r in vector.update(t, s, ["k"], "merge", ["v"]).collect())
     assert got == [(0, "n"), (1, "a"), (1, "b"), (2, "y"), (3, "z")]
+    t = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "fid long, k int, v string")
+    s = spark.createDataFrame([(2, 30, "x"), (9, 10, "y"), (5, 25, "z"), (5, 25, "w")], "fid long, k int, v string")
+    rows = lambda mode: sorted((r["fid"], r["k"], r["v"]) for r in vector.update(t, s, ["k"], mode, ["v"]).collect())
+    assert rows("merge") == [(1, 10, "y"), (2, 20, "b"), (3, 25, "w"), (4, 30, "x")]
+    assert rows("append_only") == [(1, 10, "a"), (2, 20, "b"), (3, 25, "w"), (4, 30, "x")]
+    assert rows("update_only") == [(1, 10, "y"), (2, 20, "b")]
 
 
 def test_mdim(spark):
