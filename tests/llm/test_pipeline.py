@@ -33,3 +33,20 @@ def test_odd_documents(spark, tmp_path):
     empty = docs.filter("doc_id = 7")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, oracle.DATA).count() == 0
+
+
+NAMES = "score rejected lang_pred n_lines n_removed n_words n_hit items spans gone changed size source_size target taken shards place row kept h id node key at said label".split()
+
+
+def test_columns_of_any_name_come_through(spark, tmp_path):
+    """Every name that an operator uses itself, as a further column: the stages keep it with its values."""
+    docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet").limit(60)
+    docs = docs.select("*", *[(docs["doc_id"] * (k + 2)).cast("string").alias(n) for k, n in enumerate(NAMES)])
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, oracle.DATA)
+        assert out.columns[: len(docs.columns)] == docs.columns and (k == 4 or out.columns == docs.columns), name
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        rows = out.collect()
+        assert rows and all(r[n] == str(r["doc_id"] * (j + 2)) for r in rows for j, n in enumerate(NAMES)), name
