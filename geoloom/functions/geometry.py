@@ -340,14 +340,8 @@ def _big(c: Column) -> Column:
 
 
 def _bits(c: Column) -> Column:
-    """IEEE bits of a double, from its parts: sign, exponent and mantissa by exact arithmetic (finite, normal or zero)."""
-    a = F.abs(c)
-    guess = F.floor(F.log2(F.when(a == 0, F.lit(1.0)).otherwise(a)))
-    scaled = a * F.pow(F.lit(2.0), -guess)
-    e = F.when(scaled >= 2, guess + 1).when(scaled < 1, guess - 1).otherwise(guess)
-    mantissa = ((a * F.pow(F.lit(2.0), -e) - 1.0) * F.lit(float(1 << 52))).cast("bigint")
-    positive = F.when(a == 0, F.lit(0).cast("bigint")).otherwise(F.shiftleft((e + 1023).cast("bigint"), 52) + mantissa)
-    return F.when(c < 0, positive.bitwiseOR(F.lit(-(1 << 63)))).otherwise(positive)
+    """IEEE bits of a double, as the JVM has them."""
+    return F.when(c.isNotNull(), F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c).cast("bigint"))
 
 
 def geometry_udf(fn: Callable[[Geometry], object], kind: str):  # noqa: ANN201
