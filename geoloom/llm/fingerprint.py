@@ -228,7 +228,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
             cut = n - n // 4
             edited = text[:cut] + after[: n // 4]
             own = last[1] if last[0] == text else vector(text)
-            of_edited, of_next = vector(edited), vector(after)
+            of_edited, of_next = edit(hasher, text, own, edited, cut) if n >= 4 else own, vector(after)
             last = (after, of_next)
             sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
             out.append((doc_id, n, sha, show(wrap(own)), show(wrap(of_edited)), likeness(own, of_edited), likeness(own, of_next)))
