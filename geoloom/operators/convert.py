@@ -112,6 +112,15 @@ def pixel_info(points: DataFrame, df: DataFrame, resampling: str = "nearest") ->
     return points.join(agg, points.columns, "left")
 
 
+def pixel_info_lines(lines: DataFrame, df: DataFrame, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)) -> DataFrame:
+    """Lines (value: "x y", in georeferenced coordinates) with the raster's value there; lines may be a stream."""
+    x0, dx, _, y0, _, dy = gt
+    part = F.split(F.trim("value"), r"[\s,]+")
+    x, y = F.get(part, F.lit(0)).try_cast("double"), F.get(part, F.lit(1)).try_cast("double")
+    at = lines.select("value", F.floor((y - y0) / dy).cast("int").alias("row"), F.floor((x - x0) / dx).cast("int").alias("col"))
+    return at.join(df.select("row", "col", "v"), ["row", "col"], "left").select("value", "row", "col", "v")
+
+
 def rasterize_points(points: DataFrame, value: Column, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), add: bool = False, init: float | None = None) -> DataFrame:
     """Burns points: the last feature (by fid) wins, or values add up."""
     x0, dx, _, y0, _, dy = gt

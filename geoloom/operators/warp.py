@@ -144,3 +144,18 @@ def tiles(df: DataFrame, size: int = 256, max_zoom: int = 0, min_zoom: int = 0,
         out = own if out is None else out.unionByName(own)
         now = overview(now, 2)
     return out
+
+
+def mercator_tiles(df: DataFrame, gt: tuple[float, ...], zoom: int, size: int = 256) -> DataFrame:
+    """z, tx, ty, row, col, v of the pixels of the world's square tiles (EPSG:3857, from the top left corner): each is the mean
+    of the raster's cells whose centre is in it. gt is the raster's, in the same projection."""
+    import math
+
+    x0, dx, _, y0, _, dy = gt
+    half = math.pi * 6378137.0
+    step = 2 * half / (size << zoom)
+    px = F.floor((x0 + (F.col("col") + 0.5) * dx + half) / step)
+    py = F.floor((half - (y0 + (F.col("row") + 0.5) * dy)) / step)
+    pixels = df.filter("v is not null").groupBy("band", px.alias("px"), py.alias("py")).agg(F.avg("v").alias("v"))
+    tile, inside = lambda c: F.expr(f"cast({c} div {size} as int)"), lambda c: (F.col(c) % size).cast("int")
+    return pixels.select("band", F.lit(zoom).alias("z"), tile("px").alias("tx"), tile("py").alias("ty"), inside("py").alias("row"), inside("px").alias("col"), "v")

@@ -344,6 +344,21 @@ def raster_viewshed_cumulative(spark, sf_dir):  # noqa: ANN001, ANN201
     return distance.viewshed(dem(spark, sf_dir), [(2, 5), (3, 30)])
 
 
+@query("raster_pixel_info_lines", f"WITH {DEM}, {PTS}, l AS (SELECT DISTINCT CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT) AS value, CAST(floor(y / 2) AS INT) \"row\", CAST(floor(x / 3) AS INT) \"col\" FROM pts) SELECT value, \"row\", \"col\", v FROM l LEFT JOIN dem ON r = \"row\" AND c = \"col\"")
+def raster_pixel_info_lines(spark, sf_dir):  # noqa: ANN001, ANN201
+    lines = points(spark, sf_dir).select(F.concat_ws(" ", F.col("x").cast("bigint"), F.col("y").cast("bigint")).alias("value")).distinct()
+    return convert.pixel_info_lines(lines, dem(spark, sf_dir), (0.0, 3.0, 0.0, 0.0, 0.0, 2.0))
+
+
+HALF = "(pi() * 6378137.0)"
+
+
+@query("raster_tile_mercator", f'WITH {DEM}, p AS (SELECT CAST(floor((1000000 + (c + 0.5) * 700 + {HALF}) / (2 * {HALF} / 32768)) AS BIGINT) px, CAST(floor(({HALF} - (6000000 - (r + 0.5) * 900)) / (2 * {HALF} / 32768)) AS BIGINT) py, v FROM dem) SELECT 7 z, CAST(px // 256 AS INT) tx, CAST(py // 256 AS INT) ty, CAST(py % 256 AS INT) "row", CAST(px % 256 AS INT) "col", round(avg(v), 6) v FROM p GROUP BY px, py')
+def raster_tile_mercator(spark, sf_dir):  # noqa: ANN001, ANN201
+    out = warp.mercator_tiles(dem(spark, sf_dir), (1_000_000.0, 700.0, 0.0, 6_000_000.0, 0.0, -900.0), 7)
+    return out.select("z", "tx", "ty", "row", "col", R6("v").alias("v"))
+
+
 # --- interpolation ---
 
 NEAR = f"{PTS}, {NODES}, near AS (SELECT i, j, fid, x, y, z, x - cx dx, y - cy dy, (x - cx) * (x - cx) + (y - cy) * (y - cy) d2 FROM nodes, pts WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) <= 144)"

@@ -11,7 +11,7 @@ from geoloom.functions.geometry import geometry_udf, point_wkb
 from geoloom.model import Layer, Raster
 from geoloom.operators import raster, vector
 from geoloom.operators.components import shared_path
-from geoloom.sources import archives, files, geojson, shapefile, tiff, vrt
+from geoloom.sources import archives, datasets, files, geojson, shapefile, tiff, vrt
 
 from .views import DEM, PTS, dem, points, table
 
@@ -167,6 +167,54 @@ def vector_partition_files(spark, sf_dir):  # noqa: ANN001, ANN201
     return back.groupBy(F.col("o_orderstatus").cast("string").alias("part")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
 
 
+@query("convert_vector", f"WITH {NAMED}")
+def convert_vector(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A GeoJSON document as a text sequence, by the files' endings."""
+    path = shared_path(spark)
+    geojson.write(_layer(spark, sf_dir), f"{path}.geojson")
+    datasets.convert(spark, f"{path}.geojson", f"{path}.geojsonl")
+    return _shown(datasets.open_dataset(spark, f"{path}.geojsonl").df)
+
+
+@query("convert_shapefile", f"WITH {PTS} SELECT x, y, CAST(z AS DOUBLE) z, c_name AS name FROM pts JOIN customer ON c_custkey = fid")
+def convert_shapefile(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = shared_path(spark)
+    geojson.write(_layer(spark, sf_dir), f"{path}.geojson")
+    datasets.convert(spark, f"{path}.geojson", f"{path}.shp")
+    df = shapefile.read(spark, f"{path}.shp/*.shp").df
+    return df.select(xy(0)("geom").alias("x"), xy(1)("geom").alias("y"), "z", "name")
+
+
+@query("convert_raster", f'WITH {DEM} SELECT 1 AS level, r "row", c "col", v FROM dem UNION ALL SELECT 0, r, c, v FROM dem')
+def convert_raster(spark, sf_dir):  # noqa: ANN001, ANN201
+    """A TIFF as one with an overview, and as one without: the cells stay, the overviews go."""
+    cells = dem(spark, sf_dir)
+    path = shared_path(spark)
+    tiff.write(Raster(cells, 40, cells.agg(F.max("row")).first()[0] + 1), f"{path}.tif", tile=32)
+    datasets.convert(spark, f"{path}.tif", f"{path}-2.tif", overviews=1)
+    datasets.delete_overviews(spark, f"{path}-2.tif", f"{path}-3.tif")
+    parts = [tiff.read(spark, f"{path}-{k}.tif").df.select(F.lit(tiff.levels(files.head(spark, f"{path}-{k}.tif", 1 << 20))).alias("level"), "row", "col", "v") for k in (2, 3)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("info_dispatch", f"WITH {DEM} SELECT 'raster' kind, 40 n FROM (SELECT 1) UNION ALL SELECT 'vector', CAST(count(*) AS INT) FROM customer")
+def info_dispatch(spark, sf_dir):  # noqa: ANN001, ANN201
+    cells = dem(spark, sf_dir)
+    path = shared_path(spark)
+    tiff.write(Raster(cells, 40, cells.agg(F.max("row")).first()[0] + 1), f"{path}.tif", tile=64)
+    geojson.write(_layer(spark, sf_dir), f"{path}.geojson")
+    r, v = datasets.info(spark, f"{path}.tif"), datasets.info(spark, f"{path}.geojson")
+    return spark.createDataFrame([(r["kind"], r["width"]), (v["kind"], v["featureCount"])], "kind string, n int")
+
+
+@query("vector_info_limit", "SELECT c_custkey AS fid, c_name AS name FROM customer ORDER BY c_custkey LIMIT 5")
+def vector_info_limit(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = f"{shared_path(spark)}.geojson"
+    geojson.write(_layer(spark, sf_dir), path)
+    found = datasets.info(spark, path, limit=5)["features"]
+    return spark.createDataFrame([(x["fid"], x["name"]) for x in found], "fid long, name string")
+
+
 # --- what is said about layers and rasters ---
 
 

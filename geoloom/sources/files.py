@@ -51,6 +51,11 @@ def sync(spark: SparkSession, source: str, target: str) -> list[str]:
     return done
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).isDirectory()
+
+
 def head(spark: SparkSession, path: str, size: int = 4096) -> bytes:
     """The first bytes of a file."""
     fs, p = _fs(spark, path)

@@ -67,6 +67,17 @@ def directory(raw: bytes, level: int = 0) -> Directory:
     return Directory(order, tags)
 
 
+def levels(raw: bytes) -> int:
+    """How many overviews follow the raster."""
+    n = 0
+    while True:
+        try:
+            directory(raw, n + 1)
+        except ValueError:
+            return n
+        n += 1
+
+
 def _unpack_bits(raw: bytes) -> bytes:
     out, at = bytearray(), 0
     while at < len(raw):
