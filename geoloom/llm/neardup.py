@@ -107,15 +107,16 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
 def links(sketches: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     """Verified links (a, b) between nodes: those to leaders, and all that classes which meet in a bucket are joined by."""
     nodes = sketches.dropDuplicates(["node"]).filter(F.size("keys") > 0)
-    member = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = member.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    member = space.write(join_hot(member, sizes, ["key"], "size", sketches.count() * BANDS), "member")
+    member = space.write(nodes.select("node", "n", F.explode("keys").alias("key")), "member")
     total = member.count()
-    rank = member.groupBy("node").agg(F.sum("size").alias("weight"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("size"))
+    rank = join_hot(member, sizes, ["key"], "size", total).groupBy("node").agg(F.sum("size").alias("weight"))
+    rank = space.write(rank, "rank")
     leader = member.join(rank, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"), F.count("*").alias("led"))
     pairs = join_hot(member, leader, ["key"], "led", total).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     pairs = space.write(pairs, "pairs")
-    own = docs.select(node_of(F.col("text")).alias("node"), "text").join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    shared = rank.filter(F.col("weight") > BANDS).select("node")  # a text that shares no band needs no look
+    own = docs.select(node_of(F.col("text")).alias("node"), "text").join(shared, "node", "left_semi").dropDuplicates(["node"])
     texts = space.write(own, "texts")
     found = space.write(verify(pairs, texts), "found1")
     labels = components(found, Workspace(space.spark, "near-part"))
@@ -131,7 +132,7 @@ def rest_of(member: DataFrame, nodes: DataFrame, labels: DataFrame, texts: DataF
     of its first common band alone.
     """
     total = member.count()
-    labelled = space.write(member.join(labels, "node", "left").select("key", "node", "n", "size", F.coalesce("label", "node").alias("label")), "labelled")
+    labelled = space.write(member.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("in_key")).filter("low <> high").select("key", "in_key")
     rows = space.write(join_hot(labelled, mixed, ["key"], "in_key", total).select("key", "node", "n", "label"), "rest")
     space.drop("labelled")
