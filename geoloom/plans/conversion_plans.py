@@ -275,12 +275,15 @@ def squares(levels: str) -> str:
 #: Levels every 10, which cross the rows of the raster.
 STEP = 10.0
 EVERY = f"range(CAST(floor(least(a, b, c, d) / {STEP}) + 1 AS BIGINT), CAST(floor(greatest(a, b, c, d) / {STEP}) + 1 AS BIGINT)).list_transform(lambda z: z * {STEP}::DOUBLE)"
-ROUNDED = ["level", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")]]
+
+
+def rounded(segments):  # noqa: ANN001, ANN201
+    return segments.select("level", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("raster_contour_segments", f"WITH {squares(EVERY)} SELECT * FROM segs")
 def raster_contour_segments(spark, sf_dir):  # noqa: ANN001, ANN201
-    return convert.contour_segments(dem(spark, sf_dir), STEP).select(*ROUNDED)
+    return rounded(convert.contour_segments(dem(spark, sf_dir), STEP))
 
 
 LIST = "[904.05, 921.5, 950.0, 975.25, 2000.0]"
@@ -288,14 +291,14 @@ LIST = "[904.05, 921.5, 950.0, 975.25, 2000.0]"
 
 @query("raster_contour_fixed", f"WITH {squares(f'list_filter({LIST}::DOUBLE[], lambda z: z > least(a, b, c, d) AND z <= greatest(a, b, c, d))')} SELECT * FROM segs")
 def raster_contour_fixed(spark, sf_dir):  # noqa: ANN001, ANN201
-    return convert.contour_segments(dem(spark, sf_dir), levels=[904.05, 921.5, 950.0, 975.25, 2000.0]).select(*ROUNDED)
+    return rounded(convert.contour_segments(dem(spark, sf_dir), levels=[904.05, 921.5, 950.0, 975.25, 2000.0]))
 
 
 @query("raster_contour_exponential", f"WITH {squares('list_filter([pow(1.5::DOUBLE, 16), pow(1.5::DOUBLE, 17)], lambda z: z > least(a, b, c, d) AND z <= greatest(a, b, c, d))').replace('p_retailprice v', 'p_retailprice - 245 v')} SELECT * FROM segs")
 def raster_contour_exponential(spark, sf_dir):  # noqa: ANN001, ANN201
     """Powers of 1.5: one of them lies among the values."""
     cells = dem(spark, sf_dir).withColumn("v", F.col("v") - 245)
-    return convert.contour_segments(cells, exp_base=1.5).select(*ROUNDED)
+    return rounded(convert.contour_segments(cells, exp_base=1.5))
 
 
 SQUARES = f"{DEM}, sq AS (SELECT m.v a, e.v b, s.v d, se.v c FROM dem m JOIN dem e ON e.r = m.r AND e.c = m.c + 1 JOIN dem s ON s.r = m.r + 1 AND s.c = m.c JOIN dem se ON se.r = m.r + 1 AND se.c = m.c + 1), lv AS (SELECT *, unnest(range(CAST(floor(least(a, b, c, d) / 10) + 1 AS BIGINT), CAST(floor(greatest(a, b, c, d) / 10) + 1 AS BIGINT))) * 10.0::DOUBLE AS level FROM sq)"

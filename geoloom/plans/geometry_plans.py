@@ -13,8 +13,8 @@ from .overlay_plans import RECTS, _rects
 from .views import PTS, points
 
 R6 = lambda c: F.round(c, 6)
-wkt = geometry_udf(to_wkt, "string")
-n_points = geometry_udf(lambda x: sum(1 for _ in vertices(x)), "int")
+wkt = lambda c: geometry_udf(to_wkt, "string")(c)
+n_points = lambda c: geometry_udf(lambda x: sum(1 for _ in vertices(x)), "int")(c)
 
 
 def _shapes(spark, sf_dir):  # noqa: ANN001, ANN202
