@@ -50,10 +50,17 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and gives it back as read from the shared folder."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """Writes df and gives it back as read from the shared folder. batch: rows that Python kernels get at a time, where
+        rows hold whole texts."""
+        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        try:
+            if batch:
+                self.spark.conf.set(key, str(batch))
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:

@@ -17,6 +17,8 @@ from .omh import BANDS, SIMILARITY, Sketcher, aligned, common_kmers
 BLOCK_TEXTS, BLOCK_KMERS = 256, 1 << 19
 #: Texts that are held against one copy of their leader's text.
 LED = 256
+#: Rows with whole texts that a Python kernel gets at a time.
+TEXTS_A_BATCH = 512
 
 
 def node_of(text: Column) -> Column:
@@ -118,9 +120,9 @@ def links(sketches: DataFrame, docs: DataFrame, space: Workspace) -> DataFrame:
     shared = rank.filter(F.col("weight") > BANDS).select("node")  # a text that shares no band needs no look
     own = docs.select(node_of(F.col("text")).alias("node"), "text").join(shared, "node", "left_semi").dropDuplicates(["node"])
     texts = space.write(own, "texts")
-    found = space.write(verify(pairs, texts), "found1")
+    found = space.write(verify(pairs, texts), "found1", TEXTS_A_BATCH)
     labels = components(found, Workspace(space.spark, "near-part"))
-    rest = space.write(rest_of(member, nodes, labels, texts, space), "found2")
+    rest = space.write(rest_of(member, nodes, labels, texts, space), "found2", TEXTS_A_BATCH)
     return labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest)
 
 
@@ -204,7 +206,7 @@ def _links_in(group: list[tuple]) -> pa.RecordBatch:
 
 def classes(docs: DataFrame, space: Workspace) -> DataFrame:
     """doc_id, node, class (a label), class_id, class_size for every row of docs (doc_id, text)."""
-    sketches = space.write(sketch(docs), "sketches")
+    sketches = space.write(sketch(docs), "sketches", TEXTS_A_BATCH)
     labels = components(links(sketches, docs, space), space)
     rows = sketches.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("class"))
     rows = space.write(rows, "rows")
