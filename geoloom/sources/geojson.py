@@ -1,7 +1,7 @@
 """GeoJSON, GeoJSON text sequences, ESRI JSON and TopoJSON.
 
-Line-delimited features are read as text in splits of the file; documents are read a file per task. Fields are typed by
-a lattice of the values seen (see infer), or by a schema given.
+Line-delimited features are read as text in splits of the file, and so are documents with a feature a line; other
+documents are read a file per task. Fields are typed by a lattice of the values seen (see infer), or by a schema given.
 """
 
 from __future__ import annotations
@@ -91,9 +91,11 @@ def _value(v: object, kind: str) -> object:
     return int(v) if kind in ("int", "int64") else v
 
 
-def _typed(features: DataFrame, schema: T.StructType | None) -> DataFrame:
-    """features: raw (a feature as JSON text). Infers the fields over all rows unless a schema is given, then types them."""
-    if schema is None:
+def _typed(features: DataFrame, schema: T.StructType | None, known: dict[str, str | None] | None = None) -> DataFrame:
+    """features: raw (a feature as JSON text). Infers the fields over all rows unless they are known or a schema is given, then types them."""
+    if schema is None and known is not None:
+        kinds = {k: v or "string" for k, v in known.items()}
+    elif schema is None:
 
         def states(batches):  # noqa: ANN001, ANN202
             import pandas as pd
@@ -138,8 +140,97 @@ def read_seq(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return Layer(_typed(lines.filter(F.get_json_object("raw", "$.type") == "Feature"), schema), crs="OGC:CRS84")
 
 
+def _feature(line: str) -> tuple[dict, bool, bool] | None:
+    """A line's feature, and whether a comma stands before and after it; None if it holds anything else."""
+    text = line.strip(" \t")
+    before = text.startswith(",")
+    after = len(text) > 1 and text.endswith(",")
+    text = text[before : len(text) - after].strip(" \t")
+    if not (text.startswith("{") and text.endswith("}")):
+        return None
+    try:
+        doc = json.loads(text)
+    except ValueError:
+        return None
+    return (doc, before, after) if doc.get("type") == "Feature" else None
+
+
+#: Characters that the lines before and after the features may have.
+AROUND = 1 << 16
+
+
+def _by_lines(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str | None]] | None:
+    """raw and fields of a collection with a feature a line, read in splits of the file; None if a document isn't proven to be one.
+
+    Each line is parsed. The features must be one run with a comma between any two, and what stands around them a
+    collection whose features go exactly there; so they are what the whole document would give.
+    """
+    from . import files
+
+    fs, p = files._fs(spark, path)
+    if not fs.exists(p) or fs.getFileStatus(p).isDirectory() or b"\n" not in files.head(spark, path, AROUND):
+        return None
+    lines = spark.read.text(path)
+
+    def runs(batches):  # noqa: ANN001, ANN202
+        """Of each split its other lines and its runs of features: split, line, its length, features, commas before, after, before the first, after the last."""
+        import pandas as pd
+
+        at, own = [], {}
+        for b in batches:
+            for start, value in zip(b["start"], b["value"], strict=True):
+                found = _feature(value)
+                if found is None:
+                    if value.strip(" \t"):
+                        at.append((int(start), value[:AROUND], len(value), 0, 0, 0, False, False))
+                else:
+                    doc, before, after = found
+                    for k, kind in infer_fields([doc.get("properties") or {}]).items():
+                        own[k] = merge(own.get(k), kind)
+                    if at and at[-1][1] is None and at[-1][0] == start:
+                        old = at[-1]
+                        at[-1] = (*old[:3], old[3] + 1, old[4] + before, old[5] + after, old[6], after)
+                    else:
+                        at.append((int(start), None, 0, 1, int(before), int(after), before, after))
+                if len(at) > 1000:
+                    break
+            if len(at) > 1000:
+                break
+        yield pd.DataFrame([(json.dumps([at, own]),)], columns=["found"])
+
+    done = lines.select("value", F.col("_metadata.file_block_start").alias("start")).mapInPandas(runs, "found string").collect()
+    states = sorted((json.loads(r["found"]) for r in done), key=lambda x: x[0][0][0] if x[0] else 0)
+    if any(len(x[0]) > 1000 for x in states):
+        return None
+    at = sorted((x for own, _ in states for x in own), key=lambda x: x[0])  # stable: within a split as they stand
+    inner = [k for k, x in enumerate(at) if x[1] is None]
+    if not inner or any(x[1] is not None for x in at[inner[0] : inner[-1]]) or sum(x[2] for x in at) > AROUND:
+        return None
+    run = at[inner[0] : inner[-1] + 1]
+    n, before, after = (sum(x[k] for x in run) for k in (3, 4, 5))
+    if (before, after) != (n - 1, 0) and (before, after) != (0, n - 1) or run[0][6] or run[-1][7]:
+        return None
+    head, tail = ("\n".join(x[1] for x in part) for part in (at[: inner[0]], at[inner[-1] + 1 :]))
+    mark = "\N{REPLACEMENT CHARACTER} features"
+    try:
+        doc = json.loads(f"{head}{json.dumps(mark)}{tail}")
+    except ValueError:
+        return None
+    if not isinstance(doc, dict) or doc.get("type") != "FeatureCollection" or doc.get("features") != [mark]:
+        return None
+    others = [x[1] for x in at if x[1] is not None]
+    raw = F.regexp_replace("value", r"^[ \t]*,?|,?[ \t]*$", "").alias("raw")
+    fields: dict[str, str | None] = {}
+    for _, own in states:
+        for k, kind in own.items():
+            fields[k] = merge(fields.get(k), kind)
+    return lines.filter(~F.col("value").isin(others) & (F.trim(F.translate("value", "\t", " ")) != "")).select(raw), fields
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType | None = None) -> Layer:
-    """A GeoJSON document: a collection, a feature, or a bare geometry."""
+    """A GeoJSON document: a collection, a feature, or a bare geometry. A collection with a feature a line is read in splits."""
+    if found := _by_lines(spark, path):
+        return Layer(_typed(found[0], schema, found[1]), crs="OGC:CRS84")
 
     def split(batches):  # noqa: ANN001, ANN202
         import pandas as pd
