@@ -1,13 +1,14 @@
 """Layer algebra over polygon layers whose method layer is convex: candidate pairs by grid cells, then exact clipping.
 
 Features are dealt to the cells of a grid that their envelopes touch and meet by an equality join; a pair that shares
-several cells is kept once. Nothing is paired that doesn't share a cell.
+several cells is kept once. Nothing is paired that doesn't share a cell. Features of the same shape go as one until their
+common part is known.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as g
@@ -51,8 +52,15 @@ def _meet(a: bytes, b: bytes) -> bytes | None:
     return g.to_wkb((3, rings)) if rings and g.area((3, rings)) > 0 else None
 
 
-def intersection(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """fid_a, fid_b, geom of the parts that both layers cover. a, b: fid, geom, env."""
+def _alike(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A feature for each shape (fid, the least; geom, env), and the features by it (fid, rep)."""
+    placed = df.filter("env is not null")
+    one = placed.groupBy("geom", "env").agg(F.min("fid").alias("fid"))
+    return one, placed.select("fid", "geom", "env").join(one.withColumnRenamed("fid", "rep"), ["geom", "env"]).select("fid", "rep")
+
+
+def _common(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """fid_a, fid_b, geom of the parts that both layers cover, feature by feature."""
 
     @F.pandas_udf("binary")
     def meet(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -63,6 +71,20 @@ def intersection(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return shapes.select("fid_a", "fid_b", meet("ga", "gb").alias("geom")).filter("geom is not null")
 
 
+def intersection(a: DataFrame, b: DataFrame, cell: float, columns: dict[str, Column] | None = None) -> DataFrame:
+    """fid_a, fid_b, geom of the parts that both layers cover, a row for each pair of features. a, b: fid, geom, env.
+
+    columns: further ones from geom; they and geom are worked out once for all pairs of the same two shapes.
+    """
+    (one_a, all_a), (one_b, all_b) = _alike(a), _alike(b)
+    met = _common(one_a, one_b, cell).withColumns(columns or {}).withColumnsRenamed({"fid_a": "rep_a", "fid_b": "rep_b"})
+    own_a, own_b = (df.withColumnsRenamed({"fid": f"fid_{n}", "rep": f"rep_{n}"}) for n, df in (("a", all_a), ("b", all_b)))
+    # The second join multiplies most: its rows are dealt out by feature, not by shape.
+    return met.join(own_a, "rep_a").repartition("fid_a").join(own_b, "rep_b").select("fid_a", "fid_b", "geom", *(columns or {}))
+
+
 def disjoint(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Features of a that no feature of b overlaps."""
-    return a.join(intersection(a, b, cell).select(F.col("fid_a").alias("fid")).distinct(), "fid", "left_anti")
+    (one_a, all_a), (one_b, _) = _alike(a), _alike(b)
+    hit = _common(one_a, one_b, cell).select(F.col("fid_a").alias("rep")).distinct()
+    return a.join(all_a.join(hit, "rep").select("fid"), "fid", "left_anti")

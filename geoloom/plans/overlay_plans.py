@@ -23,8 +23,7 @@ def _rects(spark, sf_dir, spread=1):  # noqa: ANN001, ANN202
 @query("overlay_intersection", f"WITH {RECTS} SELECT a.fid fid_a, b.fid fid_b, round((least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.y0 + a.w, b.y0 + b.w) - greatest(a.y0, b.y0)), 6) area FROM z a JOIN z b ON {MEET}")
 def overlay_intersection(spark, sf_dir):  # noqa: ANN001, ANN201
     z = _rects(spark, sf_dir)
-    out = overlay.intersection(z, z, 8.0)
-    return out.select("fid_a", "fid_b", F.round(area(F.col("geom")), 6).alias("area"))
+    return overlay.intersection(z, z, 8.0, {"area": F.round(area(F.col("geom")), 6)}).select("fid_a", "fid_b", "area")
 
 
 @query("overlay_disjoint", f"WITH {RECTS} SELECT b.fid FROM (SELECT fid, x0 * 3 x0, y0 * 3 y0, w FROM z) b WHERE NOT EXISTS (SELECT 1 FROM z a WHERE {MEET})")
