@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,19 +20,19 @@ def nodes(spark, width: int, height: int, x0: float, y0: float, dx: float, dy: f
     return cell.withColumns({"cx": x0 + (F.col("i") + 0.5) * dx, "cy": y0 + (F.col("j") + 0.5) * dy})
 
 
-def near(grid: DataFrame, points: DataFrame, r1: float, r2: float | None = None, angle: float = 0.0) -> DataFrame:
-    """i, j, fid, z, dx, dy, d2 of every point within the (turned) ellipse of a node."""
+def near(grid: DataFrame, points: DataFrame, r1: float, r2: float | None = None, angle: float = 0.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, fid, z, dx, dy, d2 of every point within the (turned) ellipse of a node; also: further fields of the points."""
     r2 = r2 or r1
     size = max(r1, r2)
     bucket = lambda c: F.floor(c / size).cast("int")
     around = F.explode(F.array(*[F.struct((bucket(F.col("x")) + a).alias("bx"), (bucket(F.col("y")) + b).alias("by")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    sent = points.select("fid", "x", "y", "z", around.alias("b")).select("fid", "x", "y", "z", "b.*")
+    sent = points.select("fid", "x", "y", "z", *also, around.alias("b")).select("fid", "x", "y", "z", *also, "b.*")
     own = grid.withColumns({"bx": bucket(F.col("cx")), "by": bucket(F.col("cy"))})
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     if angle:
         c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
         dx, dy = dx * c + dy * s, dy * c - dx * s
-    out = own.join(sent, ["bx", "by"]).select("i", "j", "fid", "x", "y", "z", dx.alias("dx"), dy.alias("dy"))
+    out = own.join(sent, ["bx", "by"]).select("i", "j", "fid", "x", "y", "z", *also, dx.alias("dx"), dy.alias("dy"))
     return out.filter(F.pow(F.col("dx") * r2, F.lit(2)) + F.pow(F.col("dy") * r1, F.lit(2)) <= (r1 * r2) ** 2).withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
 
 
@@ -54,12 +55,46 @@ def simple(algorithm: str) -> Column:
     }[algorithm]()
 
 
+#: Places that a row of the pairs of a node's places holds on either side, and the most parts that one side is dealt to.
+BLOCK, PARTS = 128, 16
+
+
+def _pair_distance(found: DataFrame) -> DataFrame:
+    """i, j, v (mean distance of all pairs of a node's points), n (the points). found: i, j, x, y, points (at that place).
+
+    Points of one place go as one. A node's places meet in blocks, so neither memory nor a task is bound to a node.
+    """
+    by = Window.partitionBy("i", "j")
+    places = found.groupBy("i", "j", "x", "y").agg(F.sum("points").alias("points"))
+    numbered = places.withColumn("b", F.floor((F.row_number().over(by.orderBy("x", "y")) - 1) / BLOCK).cast("int")).withColumn("last", F.max("b").over(by))
+    m = F.collect_list(F.struct("x", "y", F.col("points").cast("double").alias("n")))
+    blocks = numbered.groupBy("i", "j", "b").agg(m.alias("m"), F.max("last").alias("last")).select("i", "j", "b", "last", *[F.col(f"m.{c}").alias(c) for c in "xyn"])
+    parts = F.least(F.col("last") + 1, F.lit(PARTS))
+    a = blocks.select("i", "j", F.pmod("b", parts).alias("part"), *[F.col(c).alias(f"{c}a") for c in "bxyn"])
+    b = blocks.select("i", "j", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}b") for c in "bxyn"])
+
+    @F.pandas_udf("double")
+    def total(xa: pd.Series, ya: pd.Series, na: pd.Series, xb: pd.Series, yb: pd.Series, nb: pd.Series) -> pd.Series:
+        each = zip(xa, ya, na, xb, yb, nb, strict=True)
+        return pd.Series([float(n @ np.hypot(np.subtract.outer(x, p), np.subtract.outer(y, q)) @ k) for x, y, n, p, q, k in each], dtype="float64")
+
+    met = a.join(b, ["i", "j", "part"]).filter("ba <= bb")
+    sums = met.select("i", "j", (total("xa", "ya", "na", "xb", "yb", "nb") * F.when(F.col("ba") < F.col("bb"), 2.0).otherwise(1.0)).alias("t")).groupBy("i", "j").agg(F.sum("t").alias("t"))
+    n = F.col("n").cast("double")
+    return places.groupBy("i", "j").agg(F.sum("points").alias("n")).join(sums, ["i", "j"]).select("i", "j", F.when(n >= 2, F.col("t") / (n * (n - 1))).alias("v"), "n")
+
+
 def grid(nodes_df: DataFrame, points: DataFrame, algorithm: str, r1: float, r2: float | None = None, angle: float = 0.0, min_points: int = 0, max_points: int | None = None, per_quadrant: int | None = None, power: float = 2.0, smoothing: float = 0.0, nodata: float = 0.0) -> DataFrame:
     """i, j, v for every node; nodata where too few points are near.
 
     max_points keeps the nearest of a node, per_quadrant the nearest of each quadrant (ties: the lesser fid).
     """
-    found = near(nodes_df, points, r1, r2, angle)
+    pairs = algorithm == "average_distance_points"
+    if pairs and not per_quadrant and not max_points:  # all points count, so those of one place may go as one at once
+        points = points.groupBy("x", "y").agg(F.count("*").alias("points"), F.min("fid").alias("fid"), F.min("z").alias("z"))
+    elif pairs:
+        points = points.withColumn("points", F.lit(1).cast("bigint"))
+    found = near(nodes_df, points, r1, r2, angle, ("points",) if pairs else ())
     if per_quadrant:
         quadrant = F.when(F.col("dx") >= 0, 1).otherwise(0) + F.when(F.col("dy") >= 0, 2).otherwise(0)
         found = found.withColumn("q", quadrant).withColumn("rank", F.row_number().over(Window.partitionBy("i", "j", "q").orderBy("d2", "fid"))).filter(F.col("rank") <= per_quadrant)
@@ -67,13 +102,8 @@ def grid(nodes_df: DataFrame, points: DataFrame, algorithm: str, r1: float, r2:
             found = found.withColumn("turn", F.row_number().over(Window.partitionBy("i", "j").orderBy("rank", "q"))).filter(F.col("turn") <= max_points)
     elif max_points or algorithm == "invdistnn":
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy("i", "j").orderBy("d2", "fid"))).filter(F.col("rank") <= (max_points or 12))
-    if algorithm == "average_distance_points":
-        # Mean distance of all pairs of a node's points: from the sorted members of each node.
-        members = found.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("fid", "x", "y"))).alias("m"))
-        pair = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
-        total = F.aggregate(F.transform("m", lambda a: F.aggregate("m", F.lit(0.0), lambda acc, b: acc + pair(a, b))), F.lit(0.0), lambda acc, x: acc + x)
-        n = F.size("m")
-        out = members.select("i", "j", F.when(n >= 2, total / (n * (n - 1))).alias("v"), n.cast("bigint").alias("n"))
+    if pairs:
+        out = _pair_distance(found)
     else:
         value = _mean(power, smoothing) if algorithm in ("invdist", "invdistnn") else simple(algorithm)
         out = found.groupBy("i", "j").agg(value.alias("v"), F.count("*").alias("n"))
