@@ -66,3 +66,11 @@ def test_broken_documents_are_refused(spark, tmp_path, text):
     path.write_text(text)
     with pytest.raises(Exception, match="JSONDecodeError"):
         geojson.read(spark, f"file://{path}").df.collect()
+
+
+def test_long_documents_of_another_layout(spark, tmp_path):
+    """The proof is given up early, with input left, and the document is read whole."""
+    path = tmp_path / "a.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [json.loads(feature(k)) for k in range(6000)]}, indent=1))
+    df = geojson.read(spark, f"file://{path}").df
+    assert df.count() == 6000 and df.selectExpr("sum(fid)").first()[0] == sum(range(6000))
